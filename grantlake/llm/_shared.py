@@ -99,3 +99,37 @@ def offsets(parts: DataFrame, value: str) -> DataFrame:
         ).alias("r")
     )
     return running.select("r.__part", "r.__before")
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this subpackage importable in Python workers whatever their path."""
+    import os
+    import zipfile
+
+    import grantlake
+
+    context = spark.sparkContext
+    if getattr(context, "_grantlake_shipped", False):
+        return
+    top = os.path.dirname(os.path.abspath(grantlake.__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="grantlake-code-"), "grantlake_code.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        z.writestr("grantlake/__init__.py", "")
+        for name in sorted(os.listdir(os.path.join(top, "llm"))):
+            if name.endswith(".py"):
+                z.write(os.path.join(top, "llm", name), f"grantlake/llm/{name}")
+    context.addPyFile(target)
+    context._grantlake_shipped = True
+
+
+def slices(batches, limit: int = 8 << 20):
+    """Cut Arrow batches with large texts into ones of about ``limit`` bytes
+    (a single longer row stays whole)."""
+    for batch in batches:
+        size = batch.nbytes
+        if size <= limit or batch.num_rows <= 1:
+            yield batch
+            continue
+        rows = max(1, batch.num_rows * limit // size)
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantlake.llm import mixing, quality
+from grantlake.llm import mixing, neardup, quality
 from grantlake.llm.sql import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -20,9 +20,14 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mixture(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return neardup.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.score(docs).select("doc_id", *quality.BASE, "base_failed", "kept")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op6_quality": op6_quality}
+QUERIES = {"op1_mixing": op1_mixing, "op2_minhash": op2_minhash, "op6_quality": op6_quality}

@@ -33,6 +33,32 @@ SELECT doc_id, size, source_size, target,
 FROM rated
 """
 
+OP2 = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(words) < 5 THEN words ELSE words[i:i + 4] END AS g
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM w WHERE len(words) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), classes AS (
+  SELECT doc_id, n, min(doc_id) OVER (PARTITION BY c) AS rep
+  FROM (SELECT doc_id, count(*) AS n, md5(string_agg(CAST(g AS VARCHAR), chr(10) ORDER BY g)) AS c FROM s GROUP BY doc_id)
+), r AS (
+  SELECT s.doc_id, g, n FROM s JOIN classes USING (doc_id) WHERE rep = doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM r AS a JOIN r AS b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common WHERE 100 * k >= 75 * (na + nb - k)
+), reach(a, b) AS (
+  SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), least_of AS (
+  SELECT rep, least(rep, min(b)) AS component FROM (SELECT DISTINCT rep FROM classes) AS c LEFT JOIN reach ON reach.a = c.rep GROUP BY rep
+)
+SELECT doc_id, CAST(coalesce(classes.n, 0) AS BIGINT) AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept
+FROM documents LEFT JOIN classes USING (doc_id) LEFT JOIN least_of USING (rep)
+"""
+
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 OP6 = rf"""
@@ -65,4 +91,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM m
 """
 
-SQL = {"op1_mixing": OP1, "op6_quality": OP6}
+SQL = {"op1_mixing": OP1, "op2_minhash": OP2, "op6_quality": OP6}
