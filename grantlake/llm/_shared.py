@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed values of the query contracts.
@@ -83,22 +83,8 @@ def with_rank(scratch: Scratch, df: DataFrame, order: list[Column], rank: str) -
 def offsets(parts: DataFrame, value: str) -> DataFrame:
     """(__part, __before): the sum of ``value`` over lower parts. One row per
     partition of a range-partitioned table, so a single window task is bounded."""
-    rows = parts.select("__part", F.col(value).alias("__v"))
-    # a struct list of one row per partition, summed on the JVM
-    running = rows.agg(F.sort_array(F.collect_list(F.struct("__part", "__v"))).alias("p")).select(
-        F.explode(
-            F.transform(
-                F.col("p"),
-                lambda x: F.struct(
-                    x["__part"].alias("__part"),
-                    F.aggregate(
-                        F.filter(F.col("p"), lambda y: y["__part"] < x["__part"]), F.lit(0).cast("long"), lambda s, y: s + y["__v"].cast("long")
-                    ).alias("__before"),
-                ),
-            )
-        ).alias("r")
-    )
-    return running.select("r.__part", "r.__before")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.select("__part", F.coalesce(F.sum(F.col(value).cast("long")).over(before), F.lit(0)).alias("__before"))
 
 
 def ship(spark: SparkSession) -> None:

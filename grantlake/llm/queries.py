@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantlake.llm import mixing, neardup, quality
+from grantlake.llm import mixing, neardup, quality, tokenids
 from grantlake.llm.sql import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -30,4 +30,14 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs).select("doc_id", *quality.BASE, "base_failed", "kept")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_minhash": op2_minhash, "op6_quality": op6_quality}
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenids.token_table(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op2_minhash": op2_minhash, "op6_quality": op6_quality, "op10_tokens": op10_tokens}
