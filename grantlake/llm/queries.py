@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantlake.llm import mixing, neardup, quality, tokenids
+from grantlake.llm import mixing, neardup, quality, tokenids, warc
+from grantlake.llm._shared import Scratch
 from grantlake.llm.sql import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -25,6 +26,13 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    path = scratch.path("archive")
+    warc.write_archive(table(spark, sf_dir, "pages"), path, scratch=scratch)
+    return warc.reconstruct(spark, path).select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.score(docs).select("doc_id", *quality.BASE, "base_failed", "kept")
@@ -40,4 +48,4 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.token_table(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_minhash": op2_minhash, "op6_quality": op6_quality, "op10_tokens": op10_tokens}
+QUERIES = {"op1_mixing": op1_mixing, "op2_minhash": op2_minhash, "op5_warc": op5_warc, "op6_quality": op6_quality, "op10_tokens": op10_tokens}

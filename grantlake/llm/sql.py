@@ -59,6 +59,20 @@ SELECT doc_id, CAST(coalesce(classes.n, 0) AS BIGINT) AS n_shingles, coalesce(co
 FROM documents LEFT JOIN classes USING (doc_id) LEFT JOIN least_of USING (rep)
 """
 
+OP5 = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS body FROM pages
+), d AS (
+  SELECT page_id, octet_length(body) AS n, sha256(body) AS digest FROM p
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM d
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 OP6 = rf"""
@@ -91,4 +105,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM m
 """
 
-SQL = {"op1_mixing": OP1, "op2_minhash": OP2, "op6_quality": OP6}
+SQL = {"op1_mixing": OP1, "op2_minhash": OP2, "op5_warc": OP5, "op6_quality": OP6}
