@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantlake.llm import mixing, neardup, quality, secrets, tokenids, warc
+from grantlake.llm import licenses, mixing, neardup, quality, secrets, tokenids, warc
 from grantlake.llm._shared import Scratch
 from grantlake.llm.sql import SQL
 
@@ -38,6 +38,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs).select("doc_id", *quality.BASE, "base_failed", "kept")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return secrets.render(found).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
@@ -53,4 +57,4 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.token_table(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_minhash": op2_minhash, "op5_warc": op5_warc, "op6_quality": op6_quality, "op9_secrets": op9_secrets, "op10_tokens": op10_tokens}
+QUERIES = {"op1_mixing": op1_mixing, "op2_minhash": op2_minhash, "op5_warc": op5_warc, "op6_quality": op6_quality, "op8_licenses": op8_licenses, "op9_secrets": op9_secrets, "op10_tokens": op10_tokens}
