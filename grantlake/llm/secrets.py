@@ -81,10 +81,9 @@ def _matches(df: DataFrame, name: str, pattern: str, least: str) -> DataFrame:
 
 
 def _normal_tail(z: str) -> str:
-    """SQL for the two-sided tail of |z|, by a rational approximation of erfc."""
-    t = f"(1 / (1 + 0.3275911D * abs({z}) / sqrt(2D)))"
-    poly = f"{t} * (0.254829592D + {t} * (-0.284496736D + {t} * (1.421413741D + {t} * (-1.453152027D + {t} * 1.061405429D))))"
-    return f"greatest(1e-300D, least(1D, {poly} * exp(-({z}) * ({z}) / 2)))"
+    """SQL for the log of the two-sided tail of |z|, by a rational approximation of erfc."""
+    poly = "aggregate(array(1.061405429D, -1.453152027D, 1.421413741D, -0.284496736D, 0.254829592D), 0D, (a, c) -> (a + c) / (1 + 0.3275911D * abs({z}) / sqrt(2D)))"
+    return f"greatest(-690D, least(0D, ln({poly.format(z=z)}) - {z} * {z} / 2))"
 
 
 def battery(df: DataFrame, name: str) -> DataFrame:
@@ -108,7 +107,7 @@ def battery(df: DataFrame, name: str) -> DataFrame:
         "'zc', greatest(0D, (x.m / x.n * x.q - x.n - (x.m - 1)) / sqrt(2 * (x.m - 1) * (x.n - 1) / x.n)), "
         "'zr', if(x.e <= 2, sqrt(x.n), (x.r - x.e) / sqrt((x.e - 1) * (x.e - 2) / (x.n - 1))), "
         "'zs', if(x.ss = 0, x.n, (x.sc / x.ss + 1 / x.n) * sqrt(x.n))))",
-        f"transform({name}, x -> named_struct('start', x.start, 'stop', x.stop, 'n', x.n, 'y', -ln({_normal_tail('x.zc')}) - ln({_normal_tail('x.zr')}) - ln({_normal_tail('x.zs')})))",
+        f"transform({name}, x -> named_struct('start', x.start, 'stop', x.stop, 'n', x.n, 'y', -{_normal_tail('x.zc')} - {_normal_tail('x.zr')} - {_normal_tail('x.zs')}))",
         f"transform({name}, x -> named_struct('start', x.start, 'stop', x.stop, 'cls', {' + '.join(f'int(x.n >= {n})' for n in LENGTHS)}, "
         "'p', greatest(1e-300D, exp(-x.y) * (1 + x.y + x.y * x.y / 2))))",
     )
@@ -144,10 +143,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratc
     df = _matches(df, "access", f"AKIA[A-Z0-9]{{{ACCESS_LEAST - 4},}}", "true")
     df = _matches(df, "hex", f"[0-9a-f]{{{HEX_LEAST},}}", "true")
     df = _matches(df, "random", CANDIDATE, "x.s rlike '[0-9]' and x.s rlike '[A-Za-z]'").drop("__text")
-    df = battery(df, "random")
     for kind in KINDS[:3]:
         df = df.withColumn(kind, F.expr(f"transform({kind}, x -> struct(x.start, x.stop))"))
-    found = scratch.write(df, "secrets")
+    # the battery runs on the candidates alone, in a stage of its own
+    found = scratch.write(battery(scratch.write(df, "spans"), "random"), "secrets")
     bin_of = f"int(least({BINS}, floor(-log2(x.p) * 4)))"
     histogram = found.select(F.explode("random").alias("x")).groupBy(F.col("x.cls").alias("cls"), F.expr(bin_of).alias("b")).agg(F.count("*").alias("n"))
     cut = cutoffs(histogram)
