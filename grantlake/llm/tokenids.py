@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grantlake.llm._shared import Scratch, offsets, ship, slices
+from grantlake.llm._words import BLANK, string_buffers
 
 CHUNK_BITS, RANK_BLOCK, END_ID = 8, 512, 1
 SEGMENT_TOKENS = 1 << 20
@@ -39,6 +40,11 @@ _MAGIC = b"DAC1"
 _SEGMENTS = "part int, base long, n_docs long, n_tokens long, blob binary"
 _CACHE_WORDS = 1_000_000
 
+#: Bytes with A-Z in lower case, as the tokenizer will have them, and any ASCII white space as a blank.
+_PLAIN = np.arange(256, dtype=np.uint8)
+_PLAIN[ord("A") : ord("Z") + 1] += 32
+_PLAIN[BLANK] = 0x20
+
 
 # -- encoding ---------------------------------------------------------------
 
@@ -104,8 +110,9 @@ class Encoder:
             return np.concatenate([np.array(x, np.uint32) for x in lists]), np.concatenate([[0], np.cumsum(sizes)])
         if self.n > _CACHE_WORDS:
             self.reset()
-        # runs of white space at either end give empty words, which have no ids
-        words = pc.ascii_split_whitespace(pc.ascii_lower(column.cast(pa.large_string())))
+        data, edges = string_buffers(column)
+        plain = pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(np.ascontiguousarray(edges)), pa.py_buffer(_PLAIN[data]))
+        words = pc.split_pattern(plain, " ")  # neighbouring blanks give empty words, which have no ids
         edges = np.asarray(words.offsets, np.int64)
         coded = words.values.slice(edges[0], edges[-1] - edges[0]).dictionary_encode()
         vocabulary = coded.dictionary.to_pylist()
