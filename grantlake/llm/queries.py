@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantlake.llm import language, licenses, mixing, neardup, quality, secrets, tokenids, warc
+from grantlake.llm import decontaminate, language, licenses, mixing, neardup, quality, secrets, tokenids, warc
 from grantlake.llm._shared import Scratch
 from grantlake.llm.sql import SQL
 
@@ -26,6 +26,11 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
@@ -64,4 +69,4 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.token_table(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_minhash": op2_minhash, "op4_language": op4_language, "op5_warc": op5_warc, "op6_quality": op6_quality, "op8_licenses": op8_licenses, "op9_secrets": op9_secrets, "op10_tokens": op10_tokens}
+QUERIES = {"op1_mixing": op1_mixing, "op2_minhash": op2_minhash, "op3_decontaminate": op3_decontaminate, "op4_language": op4_language, "op5_warc": op5_warc, "op6_quality": op6_quality, "op8_licenses": op8_licenses, "op9_secrets": op9_secrets, "op10_tokens": op10_tokens}
