@@ -65,10 +65,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def with_rank(scratch: Scratch, df: DataFrame, order: list[Column], rank: str) -> DataFrame:
+def with_rank(scratch: Scratch, df: DataFrame, order: list[Column], rank: str, keep_part: bool = False) -> DataFrame:
     """Add the 0-based rank of each row in a total order without one global
     sort task: range-partition, sort, and add the row counts of the partitions
-    before. The table of partition counts has one row per partition."""
+    before. The table of partition counts has one row per partition.
+    ``keep_part`` keeps ``__part``, the number of the row's partition."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = scratch.write(
         df.repartitionByRange(n, *order)
@@ -77,7 +78,7 @@ def with_rank(scratch: Scratch, df: DataFrame, order: list[Column], rank: str) -
         .withColumn("__seq", F.monotonically_increasing_id().bitwiseAND(F.lit(_SEQ))),
         "ranked",
     )
-    return placed.join(F.broadcast(offsets(placed.groupBy("__part").agg(F.count("*").alias("__n")), "__n")), "__part").withColumn(rank, F.col("__before") + F.col("__seq")).drop("__part", "__seq", "__before")
+    return placed.join(F.broadcast(offsets(placed.groupBy("__part").agg(F.count("*").alias("__n")), "__n")), "__part").withColumn(rank, F.col("__before") + F.col("__seq")).drop("__seq", "__before", *([] if keep_part else ["__part"]))
 
 
 def offsets(parts: DataFrame, value: str) -> DataFrame:

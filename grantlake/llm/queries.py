@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantlake.llm import decontaminate, language, licenses, mixing, neardup, quality, secrets, tokenids, warc
+from grantlake.llm import chat, decontaminate, language, licenses, mixing, neardup, quality, secrets, tokenids, warc
 from grantlake.llm._shared import Scratch
 from grantlake.llm.sql import SQL
 
@@ -50,6 +50,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs).select("doc_id", *quality.BASE, "base_failed", "kept")
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.thread(table(spark, sf_dir, "conversations"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -69,4 +73,4 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.token_table(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_minhash": op2_minhash, "op3_decontaminate": op3_decontaminate, "op4_language": op4_language, "op5_warc": op5_warc, "op6_quality": op6_quality, "op8_licenses": op8_licenses, "op9_secrets": op9_secrets, "op10_tokens": op10_tokens}
+QUERIES = {"op1_mixing": op1_mixing, "op2_minhash": op2_minhash, "op3_decontaminate": op3_decontaminate, "op4_language": op4_language, "op5_warc": op5_warc, "op6_quality": op6_quality, "op7_chat": op7_chat, "op8_licenses": op8_licenses, "op9_secrets": op9_secrets, "op10_tokens": op10_tokens}

@@ -105,4 +105,53 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM m
 """
 
-SQL = {"op1_mixing": OP1, "op2_minhash": OP2, "op5_warc": OP5, "op6_quality": OP6}
+_QUOTE = r"^ ?(?:> ?)+"
+_INTRO = r"^\s*(?:On|Am|Le|El) .*(?:wrote|schrieb.*|a écrit|escribió)\s*:\s*$"
+
+
+def _sentences(text: str) -> str:
+    return rf"list_filter(list_transform(string_split_regex({text}, '[.!?\n]+'), lambda s: trim(regexp_replace(lower(s), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))), lambda s: length(s) >= 8)"
+
+
+OP7 = rf"""
+WITH m AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text, row_number() OVER (ORDER BY conv_id NULLS FIRST, turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS msg FROM conversations
+), lines AS (
+  SELECT msg, i, string_split(text, chr(10))[i] AS line FROM (SELECT msg, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM m)
+), levels AS (
+  SELECT msg, i, line, length(regexp_replace(regexp_extract(line, '{_QUOTE}'), '[^>]', '', 'g')) AS level FROM lines
+), seen AS (
+  SELECT *, lag(level, 1, 0) OVER w AS before, lead(level, 1, 0) OVER w AS after FROM levels WINDOW w AS (PARTITION BY msg ORDER BY i)
+), own AS (
+  SELECT msg, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^\s+|\s+$', '', 'g') AS content
+  FROM seen WHERE level = 0 AND NOT (after > 0 AND regexp_matches(line, '{_INTRO}')) GROUP BY msg
+), passages AS (
+  SELECT msg, level, string_agg(CASE WHEN before = level THEN ' ' ELSE chr(10) END || regexp_replace(line, '{_QUOTE}', ''), '' ORDER BY i) AS p
+  FROM seen WHERE level > 0 GROUP BY msg, level
+), q AS (
+  SELECT msg, level, unnest({_sentences('p')}) AS s FROM passages
+), mine AS (
+  SELECT conv_id, turn, unnest({_sentences('content')}) AS s FROM own JOIN m USING (msg)
+), source AS (
+  SELECT conv_id, s, min(turn) AS source FROM mine GROUP BY ALL
+), votes AS (
+  SELECT q.msg, level, source, count(*) AS n
+  FROM q JOIN m USING (msg) JOIN source ON m.conv_id IS NOT DISTINCT FROM source.conv_id AND q.s = source.s WHERE source < turn GROUP BY ALL
+), reply AS (
+  SELECT msg, arg_max(source, (-level, n, source)) AS source, sum(n) AS n_linked FROM votes GROUP BY msg
+), known AS (
+  SELECT m.*, coalesce(content, '') AS content, lag(turn) OVER (PARTITION BY conv_id ORDER BY m.msg) AS before, source, coalesce(n_linked, 0) AS n_linked,
+         (SELECT count(*) FROM q WHERE q.msg = m.msg) AS n_quotes
+  FROM m LEFT JOIN own USING (msg) LEFT JOIN reply USING (msg)
+), opened AS (
+  SELECT *, CASE WHEN source IS NOT NULL AND source IS DISTINCT FROM before THEN {{'anchor': source, 'start': turn}} END AS b FROM known
+), branched AS (
+  SELECT *, last_value(b IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY msg) AS branch FROM opened
+)
+SELECT conv_id, turn, role, CAST(coalesce(source, before) AS BIGINT) AS parent_turn,
+       row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(branch.anchor, turn) NULLS FIRST, coalesce(branch.start, -1), msg) - 1 AS position,
+       CAST(n_quotes AS BIGINT) AS n_quotes, CAST(n_linked AS BIGINT) AS n_linked, content
+FROM branched
+"""
+
+SQL = {"op1_mixing": OP1, "op2_minhash": OP2, "op5_warc": OP5, "op6_quality": OP6, "op7_chat": OP7}
