@@ -110,7 +110,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
     scratch = scratch or Scratch(spark)
     rows = labelled.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"), F.xxhash64(F.col(f"`{key_col}`")).alias("h")).where("lang is not null")
     # the SAMPLE least hashes of each language: partial limits come before the small shuffle
-    ranked = rows.where("text is not null").select("lang", "h").distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= SAMPLE)
+    ranked = rows.where("text is not null").select("lang", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= SAMPLE)
     limits = ranked.groupBy("lang").agg(F.max("h").alias("most"))
     bounds = {r["lang"]: r["most"] for r in limits.collect()}  # one number for each language
     if not bounds:
