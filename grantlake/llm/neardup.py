@@ -14,10 +14,11 @@
 4. Pairs that reach MATCHES are confirmed on the full shingle sets.
 
 No list is expanded into all its pairs. In each round every representative is
-held against one leader of its lists, and what is confirmed merges into
-components. After ``STAR_ROUNDS``, lists that still hold several components
-are joined exactly, the members outside their largest component against all.
-Links inside one component are not looked for: they cannot change it.
+held against one leader of its lists, the text most central to its group, and
+what is confirmed merges into components. After ``STAR_ROUNDS``, the members of
+lists that still hold several components are joined across components by
+the rare shingles of their full sets (``prefix_pairs``). Links inside one component
+are not looked for: they cannot change it.
 
 Defined cases: null or empty texts and texts without words have no shingles and
 link with nothing; a text of fewer than ``width`` words is one shingle; repeated
@@ -31,7 +32,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grantlake.llm._shared import Scratch, ship, slices
@@ -99,6 +100,34 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: tuple[int,
     return both.mapInArrow(lambda batches: _confirm(batches, width, percent), "a long, b long")
 
 
+def _explode(batches, width: int):
+    for batch in slices(batches, 2 << 20):
+        sets = shingle_sets(batch.column(1), width)
+        sizes = np.array([len(s) for s in sets], np.int32)
+        ids = np.repeat(np.asarray(batch.column(0), np.int64), sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets).view(np.int64))], ["id", "n", "g"])
+
+
+def prefix_pairs(scratch: Scratch, texts: DataFrame, labels: DataFrame, width: int, percent: tuple[int, int]) -> DataFrame:
+    """(a, b) of texts in different components whose full sets may be similar
+    enough. Shingles are ordered from rare to common, and two texts can only meet
+    at a shingle before which neither has passed too many for the rest to reach the
+    similarity, so the common shingles of a large group bring nothing together.
+
+    texts: (id, text); labels: (id, component)."""
+    low, high = percent
+    grams = scratch.write(texts.mapInArrow(lambda batches: _explode(batches, width), "id long, n int, g long"), "grams")
+    shared = grams.groupBy("g").agg(F.count("*").alias("df")).where("df >= 2")
+    order = Window.partitionBy("id", "n").orderBy("df", "g")
+    mine = grams.join(shared, "g").withColumn("r", F.row_number().over(order)).withColumn("m", F.count("*").over(Window.partitionBy("id", "n")))
+    # passed: shingles of the text before this one, those that no other text has being the rarest
+    mine = mine.withColumn("passed", F.col("n") - F.col("m") + F.col("r") - 1).where((F.col("n") - F.col("passed")) * high >= F.col("n") * low)
+    mine = scratch.write(mine.join(labels, "id").select("g", "id", "component", "n", "passed"), "prefix")
+    x, y = mine.toDF("g", "a", "ca", "na", "pa"), mine.toDF("g", "b", "cb", "nb", "pb")
+    reach = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) * (low + high) >= (F.col("na") + F.col("nb")) * low
+    return x.join(y, (x["g"] == y["g"]) & (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & reach).select("a", "b").distinct()
+
+
 def min_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(id, component) of every id in ``edges`` (a, b): the least id reachable, by
     alternating large and small stars (each round is aggregates and joins)."""
@@ -144,31 +173,32 @@ def link_components(
     entry = F.struct("df", "val", "pos")
     ranked = posts.join(shared, ["pos", "val"]).groupBy("rep").agg(F.array_sort(F.collect_list(entry)).alias("e"))
     # pairs that no other text has come first in the order, so they fill the prefix first
-    room = F.greatest(F.lit(coordinates - matches + 1 - coordinates) + F.size("e"), F.lit(0))
-    lists = scratch.write(ranked.select("rep", F.explode(F.slice(F.col("e"), F.lit(1), room)).alias("x")).select("rep", "x.pos", "x.val"), "lists")
-    busy = lists.groupBy("pos", "val").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).where("n >= 2")
+    room = F.greatest(F.size("e") - matches + 1, F.lit(0))
+    weight = F.aggregate("e", F.lit(0.0), lambda t, x: t + F.log2(x["df"]))  # high for a text in the middle of its group
+    lists = ranked.select("rep", weight.alias("weight"), F.explode(F.slice(F.col("e"), F.lit(1), room)).alias("x"))
+    lists = scratch.write(lists.select("rep", "weight", "x.pos", "x.val"), "lists")
+    busy = lists.groupBy("pos", "val").agg(F.count("*").alias("n")).where("n >= 2")
     lists = scratch.write(lists.join(busy.select("pos", "val"), ["pos", "val"]), "lists")
 
     met = lists.select(F.col("rep").alias("id")).distinct()
     texts = scratch.write(docs.join(met, "id").dropDuplicates(["id"]).select("id", "text"), "texts")
     labels = scratch.write(met.withColumn("component", F.col("id")), "labels")
-    edges = None
+    key, edges = ["pos", "val"], None
     for step in range(STAR_ROUNDS + 1):
         placed = lists.join(labels.toDF("rep", "comp"), "rep")
-        mixed = placed.groupBy("pos", "val").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-        placed = scratch.write(placed.join(mixed.select("pos", "val", "low"), ["pos", "val"]), "placed")
+        mixed = placed.groupBy(*key).agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+        placed = scratch.write(placed.join(mixed.select(*key), key), "placed")
         if step < STAR_ROUNDS:
-            # one leader for each representative: the least one of another component in its lists
-            heads = placed.where("comp = low").groupBy("pos", "val").agg(F.min("rep").alias("head"))
-            pairs = placed.where("comp <> low").join(heads, ["pos", "val"]).groupBy(F.col("rep").alias("a")).agg(F.min("head").alias("b"))
+            sizes = placed.groupBy(*key, "comp").agg(F.count("*").alias("n"))
+            main = sizes.groupBy(*key).agg(F.max(F.struct("n", "comp")).alias("m")).select(*key, F.col("m.comp").alias("main"))
+            few = placed if step == 0 else placed.join(main, key).where("comp <> main")
+            # one leader for each representative: the weightiest of another component in its
+            # lists, at first of all members, then of those outside the largest component
+            heads = few.groupBy(*key).agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"), "comp")).alias("head"))
+            pairs = few.join(heads, key).where("comp <> head.comp").groupBy(F.col("rep").alias("a")).agg((-F.max(F.struct("head.weight", "head.minus"))["minus"]).alias("b"))
         else:
-            sizes = placed.groupBy("pos", "val", "comp").agg(F.count("*").alias("n"))
-            main = sizes.groupBy("pos", "val").agg(F.max(F.struct("n", "comp")).alias("m")).select("pos", "val", F.col("m.comp").alias("main"))
-            few = placed.join(main, ["pos", "val"]).where("comp <> main").select("pos", "val", F.col("rep").alias("x"), F.col("comp").alias("cx"), "main")
-            many = placed.select("pos", "val", F.col("rep").alias("y"), F.col("comp").alias("cy"))
-            # a pair of two outsiders comes up from either side; it counts once
-            other = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") > F.col("y")))
-            pairs = few.join(many, ["pos", "val"]).where(other).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+            open_ = scratch.write(placed.select(F.col("rep").alias("id"), F.col("comp").alias("component")).distinct(), "open")
+            pairs = prefix_pairs(scratch, texts.join(open_.select("id"), "id", "left_semi"), open_, width, percent)
         found = scratch.write(_collide(pairs, reps, matches, percent), "pairs")
         links = scratch.write(confirm(found, texts, width, percent), "links")
         edges = links if edges is None else edges.union(links)
