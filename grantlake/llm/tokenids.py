@@ -23,6 +23,8 @@ from __future__ import annotations
 
 import struct
 import zlib
+from itertools import chain, repeat
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -52,54 +54,90 @@ _PLAIN[BLANK] = 0x20
 class Encoder:
     """Ids of whole texts. Text between ASCII white space is encoded once a
     process and kept: the tokenizer drops white space and never joins across it.
-    That holds for tokenizers whose pre-tokenization splits at white space
-    (``by_words``); others get the whole text."""
+    That holds for tokenizers whose pre-tokenization splits at white space and
+    between letters and stops (``by_words``); others get the whole text.
+
+    Where the model marks word ends in its pieces, new words of lower-case
+    letters alone go to it joined by blanks, without the steps that leave them as they are."""
 
     def __init__(self, path: str, by_words: bool = True):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.by_words = Tokenizer.from_file(path), by_words
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.bare, suffix = None, getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if by_words and suffix:
+            self.bare = Tokenizer(self.tokenizer.model)
+            self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            vocabulary = self.tokenizer.get_vocab()
+            self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.closes[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True
         self.reset()
 
     def reset(self) -> None:
-        self.places: dict[str, int] = {}
+        self.places: dict[str, int] = {"": 1}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 1
         self.flat[0] = END_ID
-        self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.lengths[0], self.n = 1, 1  # word 0: the end of a document
-
-    def _add(self, ids) -> int:
-        size = len(ids)
-        if self.used + size > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * (self.used + size))
-        if self.n == len(self.starts):
-            self.starts, self.lengths = np.resize(self.starts, 2 * self.n), np.resize(self.lengths, 2 * self.n)
-        self.flat[self.used : self.used + size] = ids
-        self.starts[self.n], self.lengths[self.n] = self.used, size
-        self.used, self.n = self.used + size, self.n + 1
-        return self.n - 1
+        self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        self.starts[1] = self.lengths[0] = 1  # word 0 is the end of a document, word 1 has no ids
+        self.n = 2
+
+    def _add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Keep the ids of new words, one word's after the other's."""
+        n, used = self.n + len(words), self.used + len(ids)
+        if used > len(self.flat):
+            self.flat = np.resize(self.flat, used + used // 2)
+        if n > len(self.starts):
+            self.starts, self.lengths = np.resize(self.starts, n + n // 2), np.resize(self.lengths, n + n // 2)
+        self.flat[self.used : used] = ids
+        self.lengths[self.n : n] = lengths
+        self.starts[self.n : n] = self.used + np.cumsum(lengths) - lengths
+        self.places.update(zip(words, range(self.n, n), strict=True))
+        self.used, self.n = used, n
+
+    def _gather(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of these words in a row, end of each word's)."""
+        sizes = self.lengths[index]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        return self.flat[np.repeat(self.starts[index] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+    def _by_model(self, words: list[str]) -> None:
+        joined = [" ".join(words[at : at + 500]) for at in range(0, len(words), 500)]
+        ids = np.fromiter(chain.from_iterable(e.ids for e in self.bare.encode_batch_fast(joined, add_special_tokens=False)), np.uint32)
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) == len(words) and (not len(ends) or ends[-1] == len(ids)):
+            self._add(words, ids, np.diff(ends, prepend=0))
+        else:
+            self._by_tokenizer(words)
+
+    def _by_tokenizer(self, words: list[str]) -> None:
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        self._add(words, np.fromiter(chain.from_iterable(lists), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists)))
 
     def _learn(self, words: list[str]) -> None:
         """Encode words; a tail of stops after a letter or digit is a word of its own."""
-        tails = {}
+        tailed, heads, tails, known = [], [], [], self.places
         new: dict[str, None] = {}
         for w in words:
             head = w.rstrip(".,")
-            if head and len(head) < len(w) and head[-1].isalnum():
-                tails[w] = (head, w[len(head) :])
-                for x in tails[w]:
-                    if x not in self.places:
-                        new[x] = None
+            if len(head) < len(w) and head and head[-1].isalnum():
+                tail = w[len(head) :]
+                tailed.append(w)
+                heads.append(head)
+                tails.append(tail)
+                if tail not in known:
+                    new[tail] = None
+                if head in known:
+                    continue
             else:
-                new[w] = None
-        order = list(new)
-        for w, e in zip(order, self.tokenizer.encode_batch_fast(order, add_special_tokens=False), strict=True):
-            self.places[w] = self._add(e.ids)
-        for w, (head, tail) in tails.items():
-            a, b = self.places[head], self.places[tail]
-            both = np.concatenate([self.flat[self.starts[x] : self.starts[x] + self.lengths[x]] for x in (a, b)])
-            self.places[w] = self._add(both)
+                head = w
+            new[head] = None
+        plain = [w for w in new if w.isalpha() and w == w.lower() and is_normalized("NFC", w)] if self.bare else []
+        self._by_model(plain)
+        self._by_tokenizer([w for w in new if w not in known])
+        both = np.fromiter(chain.from_iterable((known[a], known[b]) for a, b in zip(heads, tails, strict=True)), np.int64, 2 * len(heads))
+        ids, ends = self._gather(both)
+        self._add(tailed, ids, np.diff(ends[1::2], prepend=0))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with END_ID at its end; start of each text)."""
@@ -116,17 +154,16 @@ class Encoder:
         edges = np.asarray(words.offsets, np.int64)
         coded = words.values.slice(edges[0], edges[-1] - edges[0]).dictionary_encode()
         vocabulary = coded.dictionary.to_pylist()
-        missing = [w for w in vocabulary if w not in self.places]
-        if missing:
-            self._learn(missing)
-        place = np.fromiter(map(self.places.__getitem__, vocabulary), np.int64, len(vocabulary))
+        place = np.fromiter(map(self.places.get, vocabulary, repeat(-1)), np.int64, len(vocabulary))
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            missed = [vocabulary[i] for i in missing]
+            self._learn(missed)
+            place[missing] = np.fromiter(map(self.places.__getitem__, missed), np.int64, len(missed))
         index = np.asarray(coded.indices)
         index = place[index] if len(index) else np.zeros(0, np.int64)
         edges = edges - edges[0]
-        index = np.insert(index, edges[1:], 0)  # the end of each document
-        sizes = self.lengths[index]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.starts[index] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        ids, ends = self._gather(np.insert(index, edges[1:], 0))  # the end of each document goes in
         closing = edges[1:] + np.arange(len(edges) - 1)
         return ids, np.concatenate([[0], ends[closing]])
 
@@ -244,7 +281,7 @@ def _write(batches, path: str, by_words: bool):
         base, held, docs, size = base + len(ids), [], [], 0
         return row
 
-    for batch in slices(batches, 4 << 20):
+    for batch in slices(batches, 6 << 20):
         if not batch.num_rows:
             continue
         part = batch.column(2)[0].as_py()
