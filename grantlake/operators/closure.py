@@ -35,9 +35,9 @@ def reach(edges: DataFrame, sources: DataFrame | None = None, targets: DataFrame
     forward = targets is None
     first = steps
     if sources is not None:
-        first = steps.join(sources.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
+        first = steps.join(sources.select(F.col("node").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
     if targets is not None:
-        first = steps.join(targets.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi")
+        first = steps.join(targets.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
     found = [cut(first)]
     while True:
         last = found[-1]
