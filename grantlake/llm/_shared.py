@@ -109,9 +109,24 @@ def ship(spark: SparkSession) -> None:
     context._grantlake_shipped = True
 
 
+def trim() -> None:
+    """Give free memory back to the system: Python workers live on, idle, between stages."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def slices(batches, limit: int = 8 << 20):
     """Cut Arrow batches with large texts into ones of about ``limit`` bytes
-    (a single longer row stays whole)."""
+    (a single longer row stays whole); free memory is given back after the last."""
     for batch in batches:
         size = batch.nbytes
         if size <= limit or batch.num_rows <= 1:
@@ -120,3 +135,4 @@ def slices(batches, limit: int = 8 << 20):
         rows = max(1, batch.num_rows * limit // size)
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    trim()

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantlake.llm._shared import Scratch, offsets, ship, slices
+from grantlake.llm._shared import Scratch, offsets, ship, slices, trim
 from grantlake.llm._words import BLANK, string_buffers
 
 CHUNK_BITS, RANK_BLOCK, END_ID = 8, 512, 1
@@ -40,7 +40,7 @@ SEGMENT_TOKENS = 1 << 20
 _HEAD = struct.Struct("<4sIQQIQ")
 _MAGIC = b"DAC1"
 _SEGMENTS = "part int, base long, n_docs long, n_tokens long, blob binary"
-_CACHE_WORDS = 1_000_000
+_CACHE_WORDS = 600_000
 
 #: Bytes with A-Z in lower case, as the tokenizer will have them, and any ASCII white space as a blank.
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -281,7 +281,7 @@ def _write(batches, path: str, by_words: bool):
         base, held, docs, size = base + len(ids), [], [], 0
         return row
 
-    for batch in slices(batches, 6 << 20):
+    for batch in slices(batches, 4 << 20):
         if not batch.num_rows:
             continue
         part = batch.column(2)[0].as_py()
@@ -293,6 +293,7 @@ def _write(batches, path: str, by_words: bool):
             yield flush()
     if docs:
         yield flush()
+    trim()
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", by_words: bool = True, partitions: int | None = None) -> None:
