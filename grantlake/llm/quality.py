@@ -29,12 +29,12 @@ STOP_WORDS = (
 #: (rule, measure as SQL over the columns that ``score`` adds, least, most); None: open.
 RULES = (
     ("words", "n_words", 50, None),
-    ("repeats", "100 * n_repeat_words / n_words", None, 50),
-    ("word_length", "word_chars / n_words", 2, 15),
-    ("symbols", "n_symbols / n_words", None, 0.3),
-    ("exclamations", "n_bangs / n_words", None, 0.5),
-    ("stop_words", "n_stop_words / n_words", 0.06, None),
-    ("duplicate_lines", "n_dup_lines / n_lines", None, 0.3),
+    ("repeats", "100 * n_repeat_words / nullif(n_words, 0)", None, 50),
+    ("word_length", "word_chars / nullif(n_words, 0)", 2, 15),
+    ("symbols", "n_symbols / nullif(n_words, 0)", None, 0.3),
+    ("exclamations", "n_bangs / nullif(n_words, 0)", None, 0.5),
+    ("stop_words", "n_stop_words / nullif(n_words, 0)", 0.06, None),
+    ("duplicate_lines", "n_dup_lines / nullif(n_lines, 0)", None, 0.3),
 )
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -42,9 +42,9 @@ MEASURES = (*BASE, "n_lines", "n_bangs", "n_stop_words")
 
 
 def verdict(rules=RULES) -> str:
-    """The table as one SQL condition; a document without words fails."""
+    """The table as one SQL condition; a document without words or lines fails."""
     tests = [f"{m} >= {low}" for _, m, low, _ in rules if low is not None] + [f"{m} <= {high}" for _, m, _, high in rules if high is not None]
-    return "n_words > 0 AND " + " AND ".join(tests)
+    return f"coalesce({' AND '.join(tests)}, false)"  # a ratio to nothing is null
 
 
 def score(docs: DataFrame, rules=RULES, text_col: str = "text") -> DataFrame:
