@@ -38,7 +38,7 @@ from grantlake.llm._words import word_hashes
 PASSAGE, RANK, OVERSAMPLE, LEAST_WORDS, BLOCK_ITEMS = 64, 48, 8, 8, 20_000
 #: Window lengths grow by this factor and step by a third of themselves.
 RATIO, STEPS = 1.5, 3
-COSINE, IN_BENCHMARK, COVER, SURE, ANSWER_WORDS = 0.6, 0.6, 0.75, 0.9, 4
+COSINE, IN_BENCHMARK, COVER, SURE, ANSWER_WORDS = 0.5, 0.6, 0.75, 0.9, 4
 #: So many words in a row count as the item, too, if they are this share of it.
 RUN_WORDS, RUN_SHARE = 20, 0.4
 _TERMS = 64  # terms of one block of the sketch
