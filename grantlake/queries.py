@@ -18,6 +18,7 @@ from grantlake.operators import engine as E
 from grantlake.operators import invariants as I
 from grantlake.operators import members as M
 from grantlake.operators import rewrite as R
+from grantlake.operators.incremental import affected, touched
 from grantlake.plans.compile import compile_schema
 from grantlake.plans.schema import parse
 from grantlake.sources import tables as T
@@ -400,6 +401,12 @@ def outbox_prune(spark, sf_dir):
     return T.prune(log, T.outbox_head(log).first()[0] * 2 // 3)
 
 
+def affected_keys(spark, sf_dir):
+    """The sets that may change when all blocks on documents go."""
+    engine = _docs(spark, sf_dir)
+    return affected(engine.compiled, engine.stored, touched(engine.compiled, load(spark, sf_dir, BLOCKED)))
+
+
 def invariants(spark, sf_dir):
     """The number of violations of each kind: all 0."""
     edges = _edges(spark, sf_dir)
@@ -413,5 +420,5 @@ _NAMES = """snapshot_scan tuple_admission reject_reasons pattern_match rewrite_f
 closure path_counts topo_levels reach_forward reach_reverse point_reachability insert_edge_delta remove_edge_delta remove_node cycle_check
 outbox_delta bridges population wildcard_check check_batch ghost_check expand lookup lookup_reverse inherited_access boolean_exclusion
 boolean_intersection derived_ttu derived_userset stratified_cascade set_union set_intersect set_subtract star_normalize materialize
-log_fold log_head log_tail log_gap index_lag outbox_prune invariants""".split()
+log_fold log_head log_tail log_gap index_lag outbox_prune affected_keys invariants""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}

@@ -88,5 +88,6 @@ SQL = {
     "log_gap": f"SELECT log_id FROM ({Q.LOG}) AS l WHERE op = 'REMOVE'",
     "index_lag": "SELECT count(*) AS lag FROM events WHERE event_id > (SELECT max(event_id) // 2 FROM events)",
     "outbox_prune": f"SELECT log_id AS id, store_id, op AS action, subject_name AS src, object_name AS dst FROM ({Q.LOG}) AS l WHERE log_id >= (SELECT max(event_id) * 2 // 3 FROM events) OR log_id = (SELECT max(event_id) FROM events)",
+    "affected_keys": f"WITH {_DOCS} SELECT 'doc' AS type, r AS relation, o_name AS name FROM blocked, (VALUES ('blocked'), ('viewer')) AS v(r) UNION ALL SELECT 'conv', 'viewer', v FROM conv JOIN blocked ON o_name = d UNION ALL SELECT 'page', 'reader', v FROM page JOIN blocked ON o_name = d",
     "invariants": "SELECT kind, 0 AS violations FROM (VALUES ('missing'), ('unsupported'), ('form'), ('deltas')) AS v(kind)",
 }
