@@ -22,7 +22,9 @@ whole; an empty table gives no segments and no rows.
 from __future__ import annotations
 
 import struct
+import threading
 import zlib
+from contextlib import contextmanager
 from itertools import chain, repeat
 from unicodedata import is_normalized
 
@@ -40,7 +42,7 @@ SEGMENT_TOKENS = 1 << 20
 _HEAD = struct.Struct("<4sIQQIQ")
 _MAGIC = b"DAC1"
 _SEGMENTS = "part int, base long, n_docs long, n_tokens long, blob binary"
-_CACHE_WORDS = 600_000
+_CACHE_WORDS, IDLE_SECONDS = 800_000, 10
 
 #: Bytes with A-Z in lower case, as the tokenizer will have them, and any ASCII white space as a blank.
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -171,12 +173,39 @@ class Encoder:
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
+_IN_USE = threading.Lock()
+_REST: list[threading.Timer] = []
+
+
 def encoder(path: str, by_words: bool) -> Encoder:
     if (path, by_words) not in _ENCODERS:
         _ENCODERS[path, by_words] = Encoder(path, by_words)
     return _ENCODERS[path, by_words]
 
 
+def _rest() -> None:
+    """Forget kept words: a worker that has nothing to encode shall hold no memory."""
+    if _IN_USE.acquire(blocking=False):
+        try:
+            for e in _ENCODERS.values():
+                e.reset()
+            trim()
+        finally:
+            _IN_USE.release()
+
+
+@contextmanager
+def encoding():
+    """Around a task's encoding; after IDLE_SECONDS without another, kept words go."""
+    with _IN_USE:
+        while _REST:
+            _REST.pop().cancel()
+        yield
+        _REST.append(threading.Timer(IDLE_SECONDS, _rest))
+        _REST[-1].daemon = True
+        _REST[-1].start()
+
+
 # -- directly addressable codes ----------------------------------------------
 
 
@@ -267,6 +296,12 @@ class Segment:
 
 
 def _write(batches, path: str, by_words: bool):
+    with encoding():
+        yield from _segments(batches, path, by_words)
+    trim()
+
+
+def _segments(batches, path: str, by_words: bool):
     coder, base, part = encoder(path, by_words), 0, 0
     held, docs, size = [], [], 0
 
@@ -281,7 +316,7 @@ def _write(batches, path: str, by_words: bool):
         base, held, docs, size = base + len(ids), [], [], 0
         return row
 
-    for batch in slices(batches, 4 << 20):
+    for batch in slices(batches, 6 << 20):
         if not batch.num_rows:
             continue
         part = batch.column(2)[0].as_py()
@@ -293,7 +328,6 @@ def _write(batches, path: str, by_words: bool):
             yield flush()
     if docs:
         yield flush()
-    trim()
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", by_words: bool = True, partitions: int | None = None) -> None:
