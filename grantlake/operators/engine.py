@@ -43,6 +43,7 @@ class Engine:
         self.tuples = cut(R.admit(tuples, self.compiled))
         self.stored = cut(R.spread(self.tuples)) if self.compiled.object_wildcards else self.tuples
         self._closure: DataFrame | None = None
+        self._plain: DataFrame | None = None
         self._derived: dict[Key, DataFrame] = {}
 
     # -- building -----------------------------------------------------------
@@ -60,11 +61,15 @@ class Engine:
         return self._closure
 
     def plain(self) -> DataFrame:
-        """Member rows of relations without booleans."""
+        """Member rows of relations without booleans, laid out by relation."""
+        if self._plain is not None:
+            return self._plain
         pairs = C.unkeyed(self.closure()).where((F.col("src_name") != R.ALL) & (F.col("dst_name") != STAR))
         name = F.when(F.col("dst_name") == R.ALL, STAR).otherwise(F.col("dst_name"))
         kind = F.when(F.col("src_name") == STAR, "star").otherwise("pos")
-        return pairs.select(F.col("dst_pred").alias("o_pred"), F.col("dst_type").alias("o_type"), name.alias("o_name"), kind.alias("kind"), F.col("src_pred").alias("s_pred"), F.col("src_type").alias("s_type"), F.col("src_name").alias("s_name"))
+        rows = pairs.select(F.col("dst_pred").alias("o_pred"), F.col("dst_type").alias("o_type"), name.alias("o_name"), kind.alias("kind"), F.col("src_pred").alias("s_pred"), F.col("src_type").alias("s_type"), F.col("src_name").alias("s_name"))
+        self._plain = cut(rows, "o_type", "o_pred")
+        return self._plain
 
     def of(self, key: Key) -> DataFrame:
         """Member rows (o_name, kind, subject) of one relation."""

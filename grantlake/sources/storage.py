@@ -28,10 +28,15 @@ def delete(spark: SparkSession, path: str) -> None:
         return
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back."""
+def cut(df: DataFrame, *by: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back. ``by``: columns to lay it out
+    by, so that a filter on them reads its folders alone; files of even size, whatever the
+    values' shares."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/grantlake-cut-{uuid.uuid4().hex}"
     atexit.register(delete, spark, path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if by:
+        df.hint("rebalance", *by).write.partitionBy(*by).parquet(path)
+    else:
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
