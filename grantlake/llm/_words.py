@@ -52,19 +52,23 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+#: ASCII characters other than letters and digits.
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def word_hashes(column: pa.Array, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words, place of each text's first word): words are runs
-    of other than ASCII white space, A-Z lower-cased. Blocks end between words,
+    of bytes other than ``blank`` (ASCII white space), A-Z lower-cased. Blocks end between words,
     so memory beyond the hashes is bounded whatever the texts' lengths."""
     data, offsets = string_buffers(column)
     hashes, starts, at, n = [], [], 0, len(data)
     while at < n:
         end = min(n, at + _BLOCK)
-        while end < n and not BLANK[data[end]]:  # to the end of the word
-            step = np.flatnonzero(BLANK[data[end : end + 65536]])
+        while end < n and not blank[data[end]]:  # to the end of the word
+            step = np.flatnonzero(blank[data[end : end + 65536]])
             end = end + int(step[0]) if len(step) else min(n, end + 65536)
         block = data[at:end]
-        word = ~BLANK[block]
+        word = ~blank[block]
         edge = np.zeros(len(block) + 1, bool)  # a text begins here
         inside = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, end, "right")]
         edge[inside - at] = True

@@ -16,7 +16,8 @@
 
 Benchmark items are a stated query set. They are taken in blocks of
 ``BLOCK_ITEMS``, each held against all rows, so what is sent to tasks is bounded
-by the block. Words are runs of other than ASCII white space, A-Z lower-cased.
+by the block. Words are runs of letters, digits and characters beyond ASCII, in lower
+case, so that neither case nor marks hide an item.
 
 Defined cases: null or empty texts match nothing; items of fewer than
 ``LEAST_WORDS`` words, null ones included, are not searched for, as they occur
@@ -29,11 +30,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grantlake.llm._shared import Scratch, ship, slices
-from grantlake.llm._words import word_hashes
+from grantlake.llm._words import MARKS, word_hashes
 
 PASSAGE, RANK, OVERSAMPLE, LEAST_WORDS, BLOCK_ITEMS = 64, 48, 8, 8, 20_000
 #: Window lengths grow by this factor and step by a third of themselves.
@@ -44,6 +46,10 @@ RUN_WORDS, RUN_SHARE = 20, 0.4
 _TERMS = 64  # terms of one block of the sketch
 
 
+def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return word_hashes(pc.utf8_lower(column), MARKS)
+
+
 # -- one block of the benchmark ------------------------------------------------
 
 
@@ -51,7 +57,7 @@ class Items:
     """The benchmark items of a block, as codes of their words."""
 
     def __init__(self, ids: list[int], texts: list[str | None]):
-        hashes, at = word_hashes(pa.array(texts, pa.string()))
+        hashes, at = words(pa.array(texts, pa.string()))
         self.vocabulary = np.unique(hashes)
         codes = np.searchsorted(self.vocabulary, hashes) + 1
         rows = [(i, codes[at[k] : at[k + 1]]) for k, i in enumerate(ids) if at[k + 1] - at[k] >= LEAST_WORDS]
@@ -221,18 +227,18 @@ class Searcher:
             return []
         order, best = np.argsort(-found[4], kind="stable"), {}
         for text, item, start, size, cosine in zip(*(x[order].tolist() for x in found), strict=True):
-            words = self.items.codes[item]
+            item_words = self.items.codes[item]
             if best.get((text, item), (0, 0, 0))[1] >= SURE:
                 continue
-            pad = max(len(words), size) - size + -(-size // STEPS)
+            pad = max(len(item_words), size) - size + -(-size // STEPS)
             low, high = max(0, start - pad), start + size + pad
             region = codes[text][low:high]
-            cover = lcs(words, region) / len(words)
+            cover = lcs(item_words, region) / len(item_words)
             if cover < RUN_SHARE or cover <= best.get((text, item), (0, 0, 0))[1]:
                 continue
-            if cover < COVER and (cover * len(words) < RUN_WORDS or longest_run(words, region) < max(RUN_WORDS, RUN_SHARE * len(words))):
+            if cover < COVER and (cover * len(item_words) < RUN_WORDS or longest_run(item_words, region) < max(RUN_WORDS, RUN_SHARE * len(item_words))):
                 continue
-            answer = words[-ANSWER_WORDS:]
+            answer = item_words[-ANSWER_WORDS:]
             share = lcs(answer, region) / len(answer)
             if cover >= SURE or share >= 0.5 or cover < COVER:
                 best[text, item] = (cosine, cover, share, low, min(high, len(codes[text])))
@@ -244,7 +250,7 @@ class Searcher:
 
 def _encode(batches, items):
     for batch in slices(batches):
-        hashes, at = word_hashes(batch.column(1))
+        hashes, at = words(batch.column(1))
         codes = items.encode(hashes)
         narrow = np.uint16 if items.terms < 65535 else np.uint32
         blobs = [codes[at[i] : at[i + 1]].astype(narrow).tobytes() for i in range(batch.num_rows)]
