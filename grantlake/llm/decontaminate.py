@@ -7,8 +7,9 @@
    every partition sums its part of A'AW, the parts are added block by block of terms,
    and the driver factors the (terms x sketch) sum (Nystrom). The benchmark's own
    passages join A with as much weight as the corpus, so that the latent space spans them.
-3. Windows of about an item's length slide over each text; those with enough
-   benchmark words are compared with the items of that length by cosine.
+3. Windows of about an item's length slide over each text; those whose benchmark
+   words weigh (by inverse frequency) at least ``MASS`` of what the lightest item of that
+   length does are compared with its items by cosine.
 4. Candidates are checked word by word: the longest common subsequence of item
    and surroundings must cover ``COVER`` of the item, and half of its ending
    (the answer) must be there, unless nearly all of the item is; a long run of the
@@ -40,7 +41,7 @@ from grantlake.llm._words import MARKS, word_hashes
 PASSAGE, RANK, OVERSAMPLE, LEAST_WORDS, BLOCK_ITEMS = 64, 48, 8, 8, 20_000
 #: Window lengths grow by this factor and step by a third of themselves.
 RATIO, STEPS = 1.5, 3
-COSINE, IN_BENCHMARK, COVER, SURE, ANSWER_WORDS = 0.5, 0.6, 0.75, 0.9, 4
+COSINE, MASS, COVER, SURE, ANSWER_WORDS = 0.5, 0.5, 0.75, 0.9, 4
 #: So many words in a row count as the item, too, if they are this share of it.
 RUN_WORDS, RUN_SHARE = 20, 0.4
 _TERMS = 64  # terms of one block of the sketch
@@ -186,10 +187,11 @@ def longest_run(a: np.ndarray, b: np.ndarray) -> int:
 
 
 class Searcher:
-    def __init__(self, items: Items, latent: np.ndarray):
+    def __init__(self, items: Items, latent: np.ndarray, idf: np.ndarray):
         # row 0 is of words outside the benchmark
+        self.weight = np.concatenate([[0.0], idf])
         self.items, self.latent = items, np.concatenate([np.zeros((1, latent.shape[1])), latent]).astype(np.float32)
-        self.groups = [(size, group, self._unit(np.stack([self.latent[items.codes[i]].sum(0) for i in group]))) for size, group in items.windows().items()]
+        self.groups = [(size, group, MASS * min(self.weight[items.codes[i]].sum() for i in group), self._unit(np.stack([self.latent[items.codes[i]].sum(0) for i in group]))) for size, group in items.windows().items()]
 
     @staticmethod
     def _unit(x: np.ndarray) -> np.ndarray:
@@ -200,15 +202,15 @@ class Searcher:
         sizes = np.array([len(c) for c in codes], np.int64)
         begin = np.cumsum(sizes) - sizes
         flat = np.concatenate(codes)
-        known = np.concatenate([[0], np.cumsum(flat > 0)])
-        for size, group, targets in self.groups:
+        mass = np.concatenate([[0.0], np.cumsum(self.weight[flat])])
+        for size, group, least, targets in self.groups:
             step = max(1, size // STEPS)
             number = np.where(sizes > 0, np.maximum(0, -(-(sizes - size) // step)) + 1, 0)
             text = np.repeat(np.arange(len(codes)), number)
             k = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
             start = begin[text] + np.maximum(0, np.minimum(k * step, sizes[text] - size))
             stop = np.minimum(start + size, begin[text] + sizes[text])
-            enough = known[stop] - known[start] >= IN_BENCHMARK * min(size, min(len(self.items.codes[i]) for i in group))
+            enough = mass[stop] - mass[start] >= least
             text, start, stop = text[enough], start[enough], stop[enough]
             for at in range(0, len(text), 4096):
                 a, b = start[at : at + 4096], stop[at : at + 4096]
@@ -304,7 +306,7 @@ def _search_block(spark, scratch: Scratch, rows: DataFrame, items: Items, schema
     total = total / max(n, 1) + sketch(items.codes, idf, test) / max(number, 1)
     vectors, values = factor(total, test)
     # word vectors: weights in the latent space, each direction to a common scale
-    latent = spark.sparkContext.broadcast(Searcher(items, idf[:, None] * vectors / np.sqrt(values)))
+    latent = spark.sparkContext.broadcast(Searcher(items, idf[:, None] * vectors / np.sqrt(values), idf))
 
     def run(batches):
         searcher = latent.value
