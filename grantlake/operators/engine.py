@@ -21,7 +21,7 @@ from grantlake.functions.columns import TUPLE
 from grantlake.operators import closure as C
 from grantlake.operators import members as M
 from grantlake.operators import rewrite as R
-from grantlake.plans.compile import Compiled, compile_schema
+from grantlake.plans.compile import Compiled, compile_schema, dependencies
 from grantlake.plans.schema import BARE, STAR, Computed, Direct, Exclusion, Inherited, Intersection, Key, Schema, leaves, parse
 from grantlake.sources.storage import cut
 
@@ -45,19 +45,41 @@ class Engine:
         self._closure: DataFrame | None = None
         self._plain: DataFrame | None = None
         self._derived: dict[Key, DataFrame] = {}
+        self.needed: frozenset[Key] | None = None  # None: every relation
+        self._targets: DataFrame | None = None
+
+    def focus(self, keys, objects: DataFrame | None = None) -> Engine:
+        """An engine over the same tuples that evaluates only the relations ``keys`` and
+        what they read. With ``objects`` (o_pred, o_type, o_name), and unless a boolean is
+        among them, the closure is searched backwards from those objects alone."""
+        needed, more = set(), set(keys) & self.compiled.schema.relations.keys()
+        while more:
+            needed |= more
+            more = {d for k in more for d in dependencies(self.compiled.schema, k)} - needed
+        out = object.__new__(Engine)
+        out.__dict__ |= self.__dict__ | {"needed": frozenset(needed), "_closure": None, "_plain": None, "_derived": {}, "_targets": None}
+        if objects is not None and not needed & self.compiled.tainted:
+            name = F.explode(F.array("o_name", F.lit(R.ALL))).alias("o_name")
+            out._targets = objects.select("o_pred", "o_type", name).select(F.concat_ws("|", "o_pred", "o_type", "o_name").alias("node"))
+        return out
+
+    def _about(self, asked: DataFrame, type_: str, relation: str) -> list[Key]:
+        """The relations that a batch asks about: no more than the schema has."""
+        rows = asked.select(F.concat_ws("#", type_, relation).alias("k")).where(F.col("k").isin(["#".join(k) for k in self.compiled.schema.relations])).distinct().collect()
+        return [tuple(r["k"].split("#")) for r in rows]
 
     # -- building -----------------------------------------------------------
 
     def edges(self) -> DataFrame:
         """(src, dst) with one row for each tuple and rule, bridges included."""
-        edges = R.derive_edges(self.stored, self.compiled)
+        edges = R.derive_edges(self.stored, self.compiled, self.needed)
         if self.compiled.flowing:
             edges = edges.union(R.bridges(self.stored, self.compiled).where(F.col("src_name") != R.ALL))
         return C.keyed(edges)
 
     def closure(self) -> DataFrame:
         if self._closure is None:
-            self._closure = C.reach(self.edges())
+            self._closure = C.reach(self.edges(), targets=self._targets)
         return self._closure
 
     def plain(self) -> DataFrame:
@@ -81,7 +103,7 @@ class Engine:
         """Evaluate the boolean relations, lower strata first."""
         for stratum in self.compiled.strata:
             for key in stratum:
-                if key not in self._derived:
+                if key not in self._derived and (self.needed is None or key in self.needed):
                     self._derived[key] = cut(self._evaluate(key))
 
     def _evaluate(self, key: Key) -> DataFrame:
@@ -129,16 +151,21 @@ class Engine:
 
     def check(self, queries: DataFrame) -> DataFrame:
         """``queries`` with ``allowed``: up to four probes of the model for each row."""
-        return check(self.model(), queries)
+        objects = queries.select(F.col("relation").alias("o_pred"), F.col("object_type").alias("o_type"), F.col("object_name").alias("o_name")).distinct()
+        return check(self.focus(self._about(queries, "object_type", "relation"), objects).model(), queries)
 
-    def lookup(self, subjects: DataFrame) -> DataFrame:
-        return lookup(self.model(), subjects)
+    def lookup(self, subjects: DataFrame, relations=None) -> DataFrame:
+        """``relations``: only in these (type, relation)."""
+        if relations is None:
+            return lookup(self.model(), subjects)
+        wanted = self.spark.createDataFrame(sorted(relations), "o_type string, o_pred string")
+        return lookup(self.focus(relations).model().join(F.broadcast(wanted), ["o_type", "o_pred"], "left_semi"), subjects)
 
     def lookup_reverse(self, objects: DataFrame) -> DataFrame:
-        return lookup_reverse(self.model(), objects)
+        return lookup_reverse(self.focus(self._about(objects, "o_type", "o_pred"), objects).model(), objects)
 
     def expand(self, objects: DataFrame) -> DataFrame:
-        return expand(self.model(), objects)
+        return expand(self.focus(self._about(objects, "o_type", "o_pred"), objects).model(), objects)
 
 
 def _truth(e, truths) -> Column:

@@ -17,9 +17,11 @@ EDGE = ("src_pred", "src_type", "src_name", "dst_pred", "dst_type", "dst_name")
 ALL = "*all"
 
 
-def rule_table(spark: SparkSession, compiled: Compiled) -> DataFrame:
-    """The rewrite rules: as many rows as the schema has, whatever the data."""
-    rows = [(r.object_type, r.relation, r.subject_type, r.subject_predicate, r.star, r.predicate, r.target) for r in compiled.rules]
+def rule_table(spark: SparkSession, compiled: Compiled, needed: frozenset | None = None) -> DataFrame:
+    """The rewrite rules: as many rows as the schema has, whatever the data.
+    ``needed``: only those into these (type, relation)."""
+    rules = [r for r in compiled.rules if needed is None or (r.object_type, r.target) in needed]
+    rows = [(r.object_type, r.relation, r.subject_type, r.subject_predicate, r.star, r.predicate, r.target) for r in rules]
     return spark.createDataFrame(rows, "r_otype string, r_rel string, r_stype string, r_spred string, r_star boolean, r_pred string, r_target string")
 
 
@@ -54,10 +56,10 @@ def admit(tuples: DataFrame, compiled: Compiled) -> DataFrame:
     return reject_reasons(tuples.select(*TUPLE), compiled).where("reject_reason is null").select(*TUPLE).distinct()
 
 
-def derive_edges(tuples: DataFrame, compiled: Compiled) -> DataFrame:
+def derive_edges(tuples: DataFrame, compiled: Compiled, needed: frozenset | None = None) -> DataFrame:
     """All edges of admitted tuples, one row for each tuple and target (so the
     number of equal rows is an edge's multiplicity): one broadcast join."""
-    rules = F.broadcast(rule_table(tuples.sparkSession, compiled))
+    rules = F.broadcast(rule_table(tuples.sparkSession, compiled, needed))
     on = (
         (F.col("object_type") == F.col("r_otype"))
         & (F.col("relation") == F.col("r_rel"))

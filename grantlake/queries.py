@@ -299,7 +299,7 @@ def expand(spark, sf_dir):
 def lookup(spark, sf_dir):
     """All that the users with errors reach in documents' viewer."""
     users = load(spark, sf_dir, "SELECT DISTINCT '...' AS s_pred, 'user' AS s_type, concat('u', user_id) AS s_name FROM events WHERE event_type = 'error'")
-    return _docs(spark, sf_dir).lookup(users).where("o_type = 'doc' and o_pred = 'viewer'")
+    return _docs(spark, sf_dir).lookup(users, [("doc", "viewer")])
 
 
 def lookup_reverse(spark, sf_dir):
@@ -315,7 +315,7 @@ def inherited_access(spark, sf_dir):
 
 def _derived(key):
     def query(spark, sf_dir):
-        engine = _docs(spark, sf_dir)
+        engine = _docs(spark, sf_dir).focus([key])
         engine.derive()
         return engine.of(key)
 
@@ -330,13 +330,13 @@ derived_userset = _derived(("page", "reader"))
 
 def stratified_cascade(spark, sf_dir):
     """Member rows of every relation that depends on a boolean, by kind."""
-    rows = _docs(spark, sf_dir).model().where("(o_type = 'doc' and o_pred in ('viewer', 'restricted')) or (o_type = 'conv' and o_pred = 'viewer') or (o_type = 'page' and o_pred = 'reader')")
+    rows = _docs(spark, sf_dir).focus([("doc", "viewer"), ("doc", "restricted"), ("conv", "viewer"), ("page", "reader")]).model().where("(o_type = 'doc' and o_pred in ('viewer', 'restricted')) or (o_type = 'conv' and o_pred = 'viewer') or (o_type = 'page' and o_pred = 'reader')")
     return rows.groupBy("o_type", "o_pred", "kind").agg(F.count("*").alias("n"))
 
 
 def _sets(spark, sf_dir):
     """Two member sets for each document: public or not with blocked exceptions, and editors or public."""
-    engine = _docs(spark, sf_dir)
+    engine = _docs(spark, sf_dir).focus([("doc", "viewer"), ("doc", "restricted")])
     engine.derive()
     return engine.of(("doc", "viewer")), engine.of(("doc", "restricted")), engine
 
@@ -358,13 +358,13 @@ def set_subtract(spark, sf_dir):
 
 def star_normalize(spark, sf_dir):
     """The union of stars and editors in canonical form."""
-    engine = _docs(spark, sf_dir)
+    engine = _docs(spark, sf_dir).focus([("doc", "public"), ("doc", "editor")])
     return M.normalize(engine.of(("doc", "public")).union(engine.of(("doc", "editor"))), ["o_name"])
 
 
 def materialize(spark, sf_dir):
     """How many of the users that tuples mention view each document."""
-    engine = _docs(spark, sf_dir)
+    engine = _docs(spark, sf_dir).focus([("doc", "viewer")])
     engine.derive()
     users = R.instances(engine.tuples).where("type = 'user'").select(F.lit("...").alias("s_pred"), F.col("type").alias("s_type"), F.col("name").alias("s_name"))
     return M.materialize(engine.of(("doc", "viewer")), users, ["o_name"]).groupBy("o_name").agg(F.count("*").alias("n"))
