@@ -4,9 +4,12 @@ Every rolling word ``K``-gram hash of every text is joined with the positions of
 the same grams in the templates. A hit of template position p at text word i
 votes for diagonal i - p; a phrase that stands in the text puts all its
 votes on one diagonal, and one with words put in or left out on neighbouring ones. Votes are
-summed by diagonal, neighbouring diagonals of one template that follow each
-other in the text are merged, and a span is accepted if its verified words
-cover enough of the template: all of it, in place, for the base phrases.
+summed by diagonal, and neighbouring diagonals of one template that follow each
+other in the text are merged. A span is verified before it is accepted: every hit's
+words are those of the template, and only the longest chain of hits counts whose places
+and text words both rise, each step on the same or a neighbouring diagonal, so that a
+part found twice counts once. The chain must cover enough of the template: all of it, in
+place, for the base phrases.
 
 The template table is fixed (a few hundred positions), so it is broadcast; what
 is shuffled are hits alone and one row a document. Grams of two very common words vote for nothing.
@@ -48,6 +51,12 @@ TEMPLATES = (
 COMMON = frozenset("a and any are by for in is no not of or other the this to use with without you that may be at on as it".split())
 #: Share of a template's votes that a merged span must hold; how far neighbouring diagonals may lie apart.
 COVER, SHIFT = 0.85, 3
+#: Length of the longest chain of hits; a step spans a template and SHIFT words at most, so only such a tail is kept.
+_REACH = max(len(phrase.split()) for _, phrase in TEMPLATES) + SHIFT
+_LINKS = f"x -> x.p < h.p and x.i < h.i and abs((h.i - h.p) - (x.i - x.p)) <= {SHIFT}"
+_CHAIN = f"""aggregate(array_sort(hits), named_struct('best', 0, 'tail', cast(array() as array<struct<i: int, p: int, n: int>>)),
+  (s, h) -> named_struct('best', greatest(s.best, coalesce(array_max(s.tail.n), 0)), 'tail', concat(filter(s.tail, x -> x.i >= h.i - {_REACH}), array(named_struct('i', h.i, 'p', h.p, 'n', 1 + coalesce(array_max(filter(s.tail, {_LINKS}).n), 0))))),
+  s -> greatest(s.best, coalesce(array_max(s.tail.n), 0)))"""
 _DOCUMENT = -1  # the template number of the row that stands for a document without hits
 
 
@@ -67,28 +76,33 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     base_labels, labels, score."""
     spark = docs.sparkSession
     gram = F.expr("xxhash64(split(gram, ' ')[0], split(gram, ' ')[1])").alias("gram")
-    templates = spark.createDataFrame(template_rows(), "t int, gram string, label string, base boolean, place int, votes int").select("t", gram, "label", "base", "place", "votes")
+    templates = spark.createDataFrame(template_rows(), "t int, gram string, label string, base boolean, place int, votes int").select("t", gram, F.split("gram", " ").alias("pair"), "label", "base", "place", "votes")
     # a document stands in the stream once as the gram 'null', so one scan gives both hits and counts
-    templates = templates.union(spark.range(1).selectExpr(f"{_DOCUMENT}", "xxhash64('document', null)", "cast(null as string)", "false", "0", "0"))
+    templates = templates.union(spark.range(1).selectExpr(f"{_DOCUMENT}", "xxhash64('document', null)", "cast(null as array<string>)", "cast(null as string)", "false", "0", "0"))
 
     text = F.lower(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))  # the only non-ASCII letter that becomes ASCII is the Kelvin sign; no base phrase has a k
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("doc_id"), F.regexp_extract_all(text, F.lit(LICENSE_WORD), F.lit(0)).alias("words"))
-    rows = rows.select("row", "doc_id", F.expr("cast(size(words) as bigint)").alias("n_words"), F.expr("concat(array(xxhash64('document', null)), if(size(words) < 2, cast(array() as array<bigint>), transform(sequence(0, size(words) - 2), i -> xxhash64(get(words, i), get(words, i + 1)))))").alias("grams"))
-    grams = rows.select("row", "doc_id", "n_words", F.posexplode("grams").alias("i", "gram"))
-    hits = grams.join(F.broadcast(templates), "gram").withColumn("i", F.col("i") - 1)
+    rows = rows.select("row", "doc_id", "words", F.expr("cast(size(words) as bigint)").alias("n_words"), F.expr("concat(array(xxhash64('document', null)), if(size(words) < 2, cast(array() as array<bigint>), transform(sequence(0, size(words) - 2), i -> xxhash64(get(words, i), get(words, i + 1)))))").alias("grams"))
+    grams = rows.select("row", "doc_id", "n_words", "words", F.posexplode("grams").alias("i", "gram"))
+    # equal hashes are not yet equal words
+    same = (F.col("t") == _DOCUMENT) | F.expr("get(words, i - 1) = pair[0] and get(words, i) = pair[1]")
+    hits = grams.join(F.broadcast(templates), "gram").where(same).withColumn("i", F.col("i") - 1).drop("words", "pair", "gram")
 
     # one shuffle: the rows of a document stay together from here on
     hits = hits.repartition("row")
     # votes by diagonal
-    diagonals = hits.groupBy("row", "doc_id", "n_words", "t", "label", "base", "votes", (F.col("i") - F.col("place")).alias("diagonal")).agg(F.count("*").alias("n"), F.min("i").alias("a"), (F.max("i") + K).alias("b"))
+    diagonals = hits.groupBy("row", "doc_id", "n_words", "t", "label", "base", "votes", (F.col("i") - F.col("place")).alias("diagonal")).agg(F.collect_list("place").alias("places"), F.min("i").alias("a"), (F.max("i") + K).alias("b"))
     # merge neighbours: spans of one template in text order, a step of the diagonal of at most SHIFT;
     # each diagonal of a base phrase stands alone
     order = Window.partitionBy("row", "t").orderBy("a", "diagonal")
     step = F.col("base") | (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) > SHIFT) | (F.col("a") > F.lag("b").over(order) + SHIFT)
     runs = diagonals.withColumn("run", F.sum(F.coalesce(step, F.lit(True)).cast("int")).over(order))
-    spans = runs.groupBy("row", "doc_id", "n_words", "t", "label", "base", "votes", "run").agg(F.sum("n").alias("n"), F.min("a").alias("a"))
-    cover = F.when(F.col("t") == _DOCUMENT, 0.0).otherwise(F.least(F.col("n") / F.col("votes"), F.lit(1.0)))
-    spans = spans.withColumn("cover", cover).where((F.col("t") == _DOCUMENT) | (F.col("cover") >= F.when(F.col("base"), 1.0).otherwise(COVER)))
+    spans = runs.groupBy("row", "doc_id", "n_words", "t", "label", "base", "votes", "run").agg(F.flatten(F.collect_list(F.expr("transform(places, p -> struct(cast(p + diagonal as int) as i, p))"))).alias("hits"), F.min("a").alias("a"))
+    # verify: the hits in order, after a first look at their number
+    least = F.when(F.col("base"), 1.0).otherwise(COVER)
+    spans = spans.where((F.col("t") == _DOCUMENT) | (F.size("hits") / F.col("votes") >= least))
+    cover = F.when(F.col("t") == _DOCUMENT, 0.0).otherwise(F.expr(_CHAIN) / F.col("votes"))
+    spans = spans.withColumn("cover", cover).where((F.col("t") == _DOCUMENT) | (F.col("cover") >= least))
 
     is_base = F.col("base")
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")

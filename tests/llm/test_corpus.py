@@ -207,6 +207,13 @@ def test_licenses(spark):
     assert by[6, len(pattern.findall(rows[5][1]))]["labels"] == "mit" and by[5, 9]["labels"] == "gpl,gpl-3.0"
 
 
+def test_repeated_parts_of_a_licence_count_once(spark):
+    texts = ["general public license general public license", "creative commons, creative commons", "creative commons, creative commons zero", "gnu affero gnu affero general public license", "gnu general public public license version 3", "general gnu public license affero public general license", "creative commons " * 300 + "attribution"]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i]["labels"] for i in range(7)] == ["gpl", "", "cc0", "agpl,gpl", "gpl-3.0", "", "cc-by"]
+    assert [got[i]["score"] for i in range(7)] == [1, 0, 1, 1, 1, 0, 1]
+
+
 def brute_spans(text):
     out = []
     for k, (name, p) in enumerate((("assign", secrets.ASSIGN), ("access", secrets.ACCESS), ("hex", secrets.HEX))):
