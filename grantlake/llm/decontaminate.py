@@ -7,9 +7,11 @@
    every partition sums its part of A'AW, the parts are added block by block of terms,
    and the driver factors the (terms x sketch) sum (Nystrom). The benchmark's own
    passages join A with as much weight as the corpus, so that the latent space spans them.
-3. Windows of about an item's length slide over each text; those whose benchmark
-   words weigh (by inverse frequency) at least ``MASS`` of what the lightest item of that
-   length does are compared with its items by cosine.
+3. Windows of about an item's length slide over each text and are compared with the
+   items of that length by cosine. Only windows that step 4 would refuse in any case are left
+   out: those whose surroundings hold fewer benchmark words, or lighter ones (by inverse
+   frequency), than the lightest ``COVER`` of any of these items. Runs of ``RUN_WORDS``
+   words that an item has are looked up by hash, whatever stands around them.
 4. Candidates are checked word by word: the longest common subsequence of item
    and surroundings must cover ``COVER`` of the item, and half of its ending
    (the answer) must be there, unless nearly all of the item is; a long run of the
@@ -41,7 +43,7 @@ from grantlake.llm._words import MARKS, word_hashes
 PASSAGE, RANK, OVERSAMPLE, LEAST_WORDS, BLOCK_ITEMS = 64, 48, 8, 8, 20_000
 #: Window lengths grow by this factor and step by a third of themselves.
 RATIO, STEPS = 1.5, 3
-COSINE, MASS, COVER, SURE, ANSWER_WORDS = 0.5, 0.5, 0.75, 0.9, 4
+COSINE, COVER, SURE, ANSWER_WORDS = 0.5, 0.75, 0.9, 4
 #: So many words in a row count as the item, too, if they are this share of it.
 RUN_WORDS, RUN_SHARE = 20, 0.4
 _TERMS = 64  # terms of one block of the sketch
@@ -186,31 +188,94 @@ def longest_run(a: np.ndarray, b: np.ndarray) -> int:
     return best
 
 
+class Runs:
+    """All runs of ``size`` words of some sequences of codes, by hash."""
+
+    def __init__(self, sequences: list[np.ndarray], size: int):
+        sizes = np.array([len(c) for c in sequences], np.int64)
+        number = np.maximum(0, sizes - size + 1)
+        owner = np.repeat(np.arange(len(sizes)), number)
+        offset = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
+        self.size, self.flat = size, np.concatenate([*sequences, np.zeros(0, np.int32)])
+        start = (np.cumsum(sizes) - sizes)[owner] + offset
+        key = self._hash(self.flat[start + j] for j in range(size)) if len(start) else np.zeros(0, np.uint64)
+        order = np.argsort(key, kind="stable")
+        self.key, self.owner, self.offset, self.start = key[order], owner[order], offset[order], start[order]
+
+    @staticmethod
+    def _hash(columns) -> np.ndarray:
+        out = np.uint64(0)
+        for c in columns:
+            out = out * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.uint64)
+        return out
+
+    def find(self, flat: np.ndarray, known: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, owner, offset) of every run in ``flat``; ``known`` sums the words with
+        a code before each place, ``stop`` is the end of each place's text."""
+        n = len(flat) - self.size + 1
+        if n <= 0 or not len(self.key):
+            return (np.zeros(0, np.int64),) * 3
+        place = np.flatnonzero(known[self.size :] - known[:n] == self.size)
+        place = place[place + self.size <= stop[place]]
+        key = self._hash(flat[place + j] for j in range(self.size)) if len(place) else np.zeros(0, np.uint64)
+        low, high = np.searchsorted(self.key, key), np.searchsorted(self.key, key, "right")
+        number = high - low
+        place, row = np.repeat(place, number), np.repeat(low - np.cumsum(number) + number, number) + np.arange(number.sum())
+        steps = np.arange(self.size)
+        same = (flat[place[:, None] + steps] == self.flat[self.start[row][:, None] + steps]).all(1)
+        return place[same], self.owner[row[same]], self.offset[row[same]]
+
+
 class Searcher:
     def __init__(self, items: Items, latent: np.ndarray, idf: np.ndarray):
         # row 0 is of words outside the benchmark
         self.weight = np.concatenate([[0.0], idf])
         self.items, self.latent = items, np.concatenate([np.zeros((1, latent.shape[1])), latent]).astype(np.float32)
-        self.groups = [(size, group, MASS * min(self.weight[items.codes[i]].sum() for i in group), self._unit(np.stack([self.latent[items.codes[i]].sum(0) for i in group]))) for size, group in items.windows().items()]
+        self.groups = []
+        for size, group in items.windows().items():
+            own = [items.codes[i] for i in group]
+            most = [int(np.ceil(COVER * len(c))) for c in own]
+            # the least that the surroundings of an accepted window hold
+            least = min(np.sort(self.weight[c])[:m].sum() for c, m in zip(own, most, strict=True))
+            pad = max(self._pad(len(c), size) for c in own)
+            self.groups.append((size, group, (least * (1 - 1e-9) - 1e-9, min(most), pad), self._unit(np.stack([self.latent[c].sum(0) for c in own]))))
+        self.runs = Runs(items.codes, RUN_WORDS)
+
+    @staticmethod
+    def _pad(length: int, size: int) -> int:
+        return max(length, size) - size + -(-size // STEPS)
 
     @staticmethod
     def _unit(x: np.ndarray) -> np.ndarray:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
     def candidates(self, codes: list[np.ndarray]):
-        """(text, item, start, length, cosine) arrays for windows above COSINE."""
+        """(text, item, start, length, cosine) arrays for windows above COSINE and for
+        the places of an item that a run of its words points to."""
         sizes = np.array([len(c) for c in codes], np.int64)
         begin = np.cumsum(sizes) - sizes
         flat = np.concatenate(codes)
         mass = np.concatenate([[0.0], np.cumsum(self.weight[flat])])
-        for size, group, least, targets in self.groups:
+        known = np.concatenate([[0], np.cumsum(flat > 0)])
+        end = begin + sizes
+        place, item, offset = self.runs.find(flat, known, np.repeat(end, sizes))
+        text = np.searchsorted(end, place, "right")
+        # one row for each text, item and shift
+        runs = np.unique(np.stack([text, item, place - offset]), axis=1).astype(np.int64) if len(place) else np.zeros((3, 0), np.int64)
+        for t, i, at in runs.T.tolist():
+            words = self.items.codes[i]
+            start, stop = max(at, int(begin[t])), min(at + len(words), int(end[t]))
+            cos = self._unit(self.latent[flat[start:stop]].sum(0)[None]) @ self._unit(self.latent[words].sum(0)[None]).T
+            yield np.array([t]), np.array([i]), np.array([start - begin[t]]), np.array([stop - start]), cos[0]
+        for size, group, (least, fewest, pad), targets in self.groups:
             step = max(1, size // STEPS)
             number = np.where(sizes > 0, np.maximum(0, -(-(sizes - size) // step)) + 1, 0)
             text = np.repeat(np.arange(len(codes)), number)
             k = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
             start = begin[text] + np.maximum(0, np.minimum(k * step, sizes[text] - size))
             stop = np.minimum(start + size, begin[text] + sizes[text])
-            enough = mass[stop] - mass[start] >= least
+            low, high = np.maximum(start - pad, begin[text]), np.minimum(start + size + pad, end[text])
+            enough = (known[high] - known[low] >= fewest) & (mass[high] - mass[low] >= least)
             text, start, stop = text[enough], start[enough], stop[enough]
             for at in range(0, len(text), 4096):
                 a, b = start[at : at + 4096], stop[at : at + 4096]
@@ -232,7 +297,7 @@ class Searcher:
             item_words = self.items.codes[item]
             if best.get((text, item), (0, 0, 0))[1] >= SURE:
                 continue
-            pad = max(len(item_words), size) - size + -(-size // STEPS)
+            pad = self._pad(len(item_words), size)
             low, high = max(0, start - pad), start + size + pad
             region = codes[text][low:high]
             cover = lcs(item_words, region) / len(item_words)

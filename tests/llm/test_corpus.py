@@ -163,6 +163,21 @@ def test_leaks_are_found_and_clean_texts_left(spark):
     assert decontaminate.find(docs, bench.limit(0)).isEmpty() and decontaminate.find(docs.limit(0), bench).isEmpty()
 
 
+def test_light_parts_of_an_item_are_found(spark):
+    """The lightest 45% run of an item amid other words, and a copy without the rarest fifth of its words."""
+    rng = random.Random(12)
+    light, heavy = [f"c{k}" for k in range(60)], [f"r{k}" for k in range(400)]
+    items = [(i, [light[(7 * i + j) % 60] for j in range(28)] + heavy[40 * i : 40 * i + 28] + [light[(7 * i + j) % 60] for j in range(30, 34)]) for i in range(4)]
+    docs = [(i, " ".join(rng.choice(light + [f"z{rng.randrange(5000)}"] * 60) for _ in range(120))) for i in range(200)]
+    other = lambda n: [f"o{rng.randrange(9999)}" for _ in range(n)]
+    for i, w in items:
+        docs.append((1000 + i, " ".join(other(90) + w[:28] + other(90))))
+        docs.append((2000 + i, " ".join(other(90) + [x if x[0] == "c" or k % 2 else f"s{k}" for k, x in enumerate(w)] + other(90))))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got >= {(k + i, i) for i in range(4) for k in (1000, 2000)}
+
+
 def test_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(100):
