@@ -22,9 +22,11 @@ Benchmark items are a stated query set. They are taken in blocks of
 by the block. Words are runs of letters, digits and characters beyond ASCII, in lower
 case, so that neither case nor marks hide an item.
 
+Items of ``EXACT_WORDS`` to ``LEAST_WORDS`` - 1 words are looked up whole, word for word, apart
+from the latent search; as they may occur by chance, their rows are told by a null cosine.
+
 Defined cases: null or empty texts match nothing; items of fewer than
-``LEAST_WORDS`` words, null ones included, are not searched for, as they occur
-by chance; items and rows that repeat are reported for each id once; an empty
+``EXACT_WORDS`` words, null ones included, are not searched for; items and rows that repeat are reported for each id once; an empty
 table on either side gives no matches; other columns are ignored.
 """
 
@@ -41,6 +43,7 @@ from grantlake.llm._shared import Scratch, ship, slices
 from grantlake.llm._words import MARKS, word_hashes
 
 PASSAGE, RANK, OVERSAMPLE, LEAST_WORDS, BLOCK_ITEMS = 64, 48, 8, 8, 20_000
+EXACT_WORDS = 3
 #: Window lengths grow by this factor and step by a third of themselves.
 RATIO, STEPS = 1.5, 3
 COSINE, COVER, SURE, ANSWER_WORDS = 0.5, 0.75, 0.9, 4
@@ -65,6 +68,8 @@ class Items:
         codes = np.searchsorted(self.vocabulary, hashes) + 1
         rows = [(i, codes[at[k] : at[k + 1]]) for k, i in enumerate(ids) if at[k + 1] - at[k] >= LEAST_WORDS]
         self.ids, self.codes = [i for i, _ in rows], [c for _, c in rows]
+        short = [(i, codes[at[k] : at[k + 1]]) for k, i in enumerate(ids) if EXACT_WORDS <= at[k + 1] - at[k] < LEAST_WORDS]
+        self.short = [([i for i, c in short if len(c) == n], Runs([c for _, c in short if len(c) == n], n)) for n in sorted({len(c) for _, c in short})]
         self.terms = len(self.vocabulary)
         self.bits = np.zeros(1 << 20, bool)  # most other words stop here
         self.bits[self.vocabulary >> np.uint64(44)] = True
@@ -286,6 +291,20 @@ class Searcher:
                 w, g = np.nonzero(cos >= COSINE)
                 yield text[at + w], group[g], a[w] - begin[text[at + w]], lengths[w], cos[w, g]
 
+    def exact(self, codes: list[np.ndarray]) -> list[tuple]:
+        """The first place of each short item in each text, as rows of ``search``."""
+        if not codes or not self.items.short:
+            return []
+        sizes = np.array([len(c) for c in codes], np.int64)
+        end, flat = np.cumsum(sizes), np.concatenate(codes)
+        known, stop, out = np.concatenate([[0], np.cumsum(flat > 0)]), np.repeat(end, sizes), {}
+        for ids, runs in self.items.short:
+            place, owner, _ = runs.find(flat, known, stop)
+            text = np.searchsorted(end, place, "right")
+            for t, k, at in zip(text.tolist(), owner.tolist(), (place - (end - sizes)[text]).tolist(), strict=True):
+                out.setdefault((t, ids[k]), (t, ids[k], at, at + runs.size, None, 1.0, 1.0))
+        return list(out.values())
+
     def search(self, codes: list[np.ndarray]) -> list[tuple]:
         """(text, item, start, stop, cosine, cover, answer) of accepted matches,
         the best window of each text and item."""
@@ -343,7 +362,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
     def held(block) -> DataFrame | None:
         items = Items([r["i"] for r in block], [r["t"] for r in block])
-        return _search_block(spark, scratch, rows, items, schema) if items.ids else None
+        return _search_block(spark, scratch, rows, items, schema) if items.ids or items.short else None
 
     for row in asked.toLocalIterator():
         block.append(row)
@@ -376,7 +395,7 @@ def _search_block(spark, scratch: Scratch, rows: DataFrame, items: Items, schema
     def run(batches):
         searcher = latent.value
         for texts, ids in _read_codes(batches):
-            found = searcher.search(texts)
+            found = searcher.search(texts) + searcher.exact(texts)
             ids = ids.to_pylist()
             columns = list(zip(*found, strict=True)) if found else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array([ids[t] for t in columns[0]], pa.int64()), *(pa.array(list(c), pa.int64()) for c in columns[1:4]), *(pa.array(list(c), pa.float64()) for c in columns[4:])], [f.split()[0] for f in schema.split(", ")])

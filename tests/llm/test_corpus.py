@@ -163,6 +163,16 @@ def test_leaks_are_found_and_clean_texts_left(spark):
     assert decontaminate.find(docs, bench.limit(0)).isEmpty() and decontaminate.find(docs.limit(0), bench).isEmpty()
 
 
+def test_short_items_are_found_word_for_word(spark):
+    docs = spark.createDataFrame([(0, "so what IS the\ncapital of Peru? said he"), (1, "what is the big capital of peru"), (2, "what is the"), (3, "capital of peru what is the"), (4, None), (5, "is it? Who wrote it")], "doc_id long, text string")
+    short = [(0, "What is the capital of Peru?"), (1, "who wrote it"), (2, "it is"), (3, None)]
+    long = [(9, " ".join(f"w{k}" for k in range(30)))]
+    for items in (short, short + long):
+        got = decontaminate.find(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert sorted((r["doc_id"], r["item_id"], r["start_word"], r["stop_word"], r["cosine"], r["cover"]) for r in got) == [(0, 0, 1, 7, None, 1.0), (5, 1, 2, 5, None, 1.0)]
+    assert decontaminate.find(docs.limit(0), spark.createDataFrame(short, "item_id long, text string")).isEmpty()
+
+
 def test_light_parts_of_an_item_are_found(spark):
     """The lightest 45% run of an item amid other words, and a copy without the rarest fifth of its words."""
     rng = random.Random(12)
