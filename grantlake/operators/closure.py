@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grantlake.plans.errors import ClosureFanoutExceeded
-from grantlake.sources.storage import cut
+from grantlake.sources.storage import cut, cut_counting, cut_or_empty
 
 COUNT = "decimal(38,0)"
 
@@ -27,64 +27,98 @@ def unkeyed(pairs: DataFrame) -> DataFrame:
     return pairs.select(*(part(c, i).alias(f"{c}_{n}") for c in ("src", "dst") for i, n in ((1, "pred"), (2, "type"), (3, "name"))))
 
 
+def _node(nodes: DataFrame, name: str) -> DataFrame:
+    return nodes.select(F.col("node").alias(name)).distinct()
+
+
+def ancestors(steps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node): ``nodes`` and all that reach them. Only nodes are kept, not pairs."""
+    found = [cut(_node(nodes, "node"))]
+    while True:
+        before = steps.join(found[-1].withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
+        new = cut_or_empty(before.join(reduce(DataFrame.union, found), "node", "left_anti"))
+        if new is None:
+            return reduce(DataFrame.union, found)
+        found.append(new)
+
+
 def reach(edges: DataFrame, sources: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
     """(src, dst) of all pairs joined by a path of one edge or more. ``sources`` (node)
-    keeps the search to paths that start there, ``targets`` to paths that end there.
-    Cycles are safe; a node on one is listed with itself."""
+    keeps the search to paths that start there, ``targets`` to paths that end there; with both,
+    it goes forward over the edges that lead to a target. Cycles are safe; a node on one is
+    listed with itself."""
     steps = cut(edges.select("src", "dst").distinct())
-    forward = targets is None
+    forward = targets is None or sources is not None
+    if targets is not None and forward:
+        steps = cut(steps.join(ancestors(steps, targets).withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"))
     first = steps
     if sources is not None:
-        first = steps.join(sources.select(F.col("node").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
-    if targets is not None:
-        first = steps.join(targets.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-    found = [cut(first)]
+        first = steps.join(_node(sources, "src"), "src", "left_semi").select("src", "dst")
+    elif targets is not None:
+        first = steps.join(_node(targets, "dst"), "dst", "left_semi").select("src", "dst")
+    found = [first if first is steps else cut(first)]
     while True:
         last = found[-1]
         if forward:
             new = last.join(steps.toDF("dst", "next"), "dst").select("src", F.col("next").alias("dst"))
         else:
             new = last.join(steps.toDF("before", "src"), "src").select(F.col("before").alias("src"), "dst")
-        new = cut(new.distinct().join(reduce(DataFrame.union, found), ["src", "dst"], "left_anti"))
-        if new.isEmpty():
+        new = cut_or_empty(new.distinct().join(reduce(DataFrame.union, found), ["src", "dst"], "left_anti"))
+        if new is None:
             break
         found.append(new)
     out = reduce(DataFrame.union, found)
-    return out.join(sources.select(F.col("node").alias("src")).distinct(), "src", "left_semi") if sources is not None and not forward else out
+    return out.join(_node(targets, "dst"), "dst", "left_semi").select("src", "dst") if targets is not None and forward else out
 
 
 def levels(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((node, level), edges left over): the longest path from a node without
-    incoming edges; edges are left over exactly where there is a cycle."""
-    left = cut(edges.select("src", "dst").distinct())
-    nodes = cut(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct())
-    done, level = [], 0
+    incoming edges; edges are left over exactly where there is a cycle.
+
+    Each round marks the edges whose tail no edge that is left enters; the tail is on that
+    round's level, and a node that nothing leaves is one above the last edge into it."""
+    left, done, level = cut(edges.select("src", "dst").distinct()), [], 0
     while True:
-        ready = cut(nodes.join(left.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"))
-        if ready.isEmpty():
+        entered = left.select(F.col("dst").alias("src"), F.lit(True).alias("stays")).distinct()
+        marked, seen = cut_counting(left.join(entered, "src", "left").select("src", "dst", F.coalesce("stays", F.lit(False)).alias("stays")), gone=F.count_if(~F.col("stays")), kept=F.count_if("stays"))
+        left = marked.where("stays").select("src", "dst")
+        if seen["gone"]:
+            done.append(marked.where("not stays").select("src", "dst", F.lit(level).alias("level")))
+        if not seen["gone"] or not seen["kept"]:
             break
-        done.append(ready.withColumn("level", F.lit(level)))
-        nodes = cut(nodes.join(ready, "node", "left_anti"))
-        left = cut(left.join(ready.withColumnRenamed("node", "src"), "src", "left_anti"))
         level += 1
-    empty = nodes.limit(0).withColumn("level", F.lit(0))
-    return reduce(DataFrame.union, done, empty), left
+    gone = reduce(DataFrame.union, done) if done else left.limit(0).withColumn("level", F.lit(0))
+    ends = gone.select(F.col("dst").alias("node"), (F.col("level") + 1).alias("level")).union(gone.select("src", "level"))
+    # nodes that an edge left over touches are on a cycle, or behind one
+    looped = left.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    return ends.groupBy("node").agg(F.max("level").alias("level")).join(looped, "node", "left_anti"), left
 
 
 def path_counts(edges: DataFrame) -> DataFrame:
     """(src, dst, paths): how many paths join two nodes of an acyclic multigraph
-    (src, dst, multiplicity)."""
-    if not levels(edges)[1].isEmpty():
-        raise ValueError("path counts need an acyclic graph")
-    step = cut(edges.select("src", "dst", F.col("multiplicity").cast(COUNT).alias("paths")))
+    (src, dst, multiplicity). A cycle shows as a path from a node to itself and is refused."""
+    loops = {"n": F.count(F.lit(1)), "loops": F.count_if(F.col("src") == F.col("dst"))}
+    step, seen = cut_counting(edges.select("src", "dst", F.col("multiplicity").cast(COUNT).alias("paths")), **loops)
     found = [step]
-    while True:
+    while not seen["loops"]:
         new = found[-1].join(step.toDF("dst", "next", "m"), "dst").groupBy("src", F.col("next").alias("dst")).agg(F.sum((F.col("paths") * F.col("m")).cast(COUNT)).cast(COUNT).alias("paths"))
-        new = cut(new)
-        if new.isEmpty():
-            break
+        new, seen = cut_counting(new, **loops)
+        if not seen["n"]:
+            return reduce(DataFrame.union, found).groupBy("src", "dst").agg(F.sum("paths").cast(COUNT).alias("paths"))
         found.append(new)
-    return reduce(DataFrame.union, found).groupBy("src", "dst").agg(F.sum("paths").cast(COUNT).alias("paths"))
+    raise ValueError("path counts need an acyclic graph")
+
+
+def has_edges(edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked`` (src, dst) with ``direct``: is there such an edge?"""
+    there = edges.select("src", "dst").distinct().withColumn("direct", F.lit(True))
+    return asked.join(there, ["src", "dst"], "left").withColumn("direct", F.coalesce("direct", F.lit(False)))
+
+
+def cycles_of(edges: DataFrame, new: DataFrame) -> DataFrame:
+    """Those of ``new`` that lie on a cycle of ``edges`` (which holds them): a search from
+    their heads alone, as every new cycle passes a new edge."""
+    return closes_cycle(reach(edges, sources=new.select(F.col("dst").alias("node"))), new)
 
 
 def edge_effect(counts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -100,14 +134,20 @@ def edge_effect(counts: DataFrame, edges: DataFrame) -> DataFrame:
     return above.join(below, "edge").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum((F.col("pa") * F.col("pb")).cast(COUNT)).cast(COUNT).alias("paths"))
 
 
-def check_fanout(counts: DataFrame, edge: tuple[str, str], limit: int) -> int:
-    """Closure rows that a new edge touches at most; refused above ``limit`` (0: no limit)."""
-    up = counts.where(F.col("dst") == edge[0]).count()
-    down = counts.where(F.col("src") == edge[1]).count()
-    touched = up * down + up + down
-    if limit and touched > limit:
-        raise ClosureFanoutExceeded(f"{edge} touches {touched} rows, more than {limit}")
-    return touched
+def fanout(closure: DataFrame, edges: DataFrame) -> DataFrame:
+    """``edges`` with ``touched``: the closure rows that each touches at most as a new edge, from what
+    reaches its tail to what its head reaches."""
+    up = closure.groupBy(F.col("dst").alias("src")).agg(F.count("*").alias("up"))
+    down = closure.groupBy(F.col("src").alias("dst")).agg(F.count("*").alias("down"))
+    up_, down_ = F.coalesce("up", F.lit(0)), F.coalesce("down", F.lit(0))
+    return edges.join(up, "src", "left").join(down, "dst", "left").select("src", "dst", (up_ * down_ + up_ + down_ + 1).alias("touched"))
+
+
+def check_fanout(closure: DataFrame, edges: DataFrame, limit: int) -> None:
+    """Refuse new edges of which one touches more closure rows than ``limit`` (0: no limit)."""
+    worst = fanout(closure, edges).where(F.col("touched") > limit).first() if limit else None
+    if worst is not None:
+        raise ClosureFanoutExceeded(f"{worst['src']} -> {worst['dst']} touches {worst['touched']} rows, more than {limit}")
 
 
 def add_edges(counts: DataFrame, edges: DataFrame) -> DataFrame:

@@ -42,25 +42,34 @@ class Engine:
         self.spark = tuples.sparkSession
         self.tuples = cut(R.admit(tuples, self.compiled))
         self.stored = cut(R.spread(self.tuples)) if self.compiled.object_wildcards else self.tuples
+        self._reset(None, None, None)
+
+    def _reset(self, needed: frozenset[Key] | None, sources: DataFrame | None, targets: DataFrame | None) -> None:
+        self.needed = needed  # None: every relation
+        self._sources, self._targets = sources, targets  # (node); None: all
         self._closure: DataFrame | None = None
         self._plain: DataFrame | None = None
         self._derived: dict[Key, DataFrame] = {}
-        self.needed: frozenset[Key] | None = None  # None: every relation
-        self._targets: DataFrame | None = None
 
-    def focus(self, keys, objects: DataFrame | None = None) -> Engine:
+    def focus(self, keys, objects: DataFrame | None = None, subjects: DataFrame | None = None) -> Engine:
         """An engine over the same tuples that evaluates only the relations ``keys`` and
-        what they read. With ``objects`` (o_pred, o_type, o_name), and unless a boolean is
-        among them, the closure is searched backwards from those objects alone."""
+        what they read. With ``subjects`` (s_pred, s_type, s_name), only for those and the stars of their
+        shapes: a membership never depends on other subjects. With ``objects`` (o_pred, o_type, o_name), and
+        unless a boolean is among the relations, only paths that end at those objects are searched."""
         needed, more = set(), set(keys) & self.compiled.schema.relations.keys()
         while more:
             needed |= more
             more = {d for k in more for d in dependencies(self.compiled.schema, k)} - needed
-        out = object.__new__(Engine)
-        out.__dict__ |= self.__dict__ | {"needed": frozenset(needed), "_closure": None, "_plain": None, "_derived": {}, "_targets": None}
+        sources = targets = None
+        if subjects is not None:
+            name = F.explode(F.array("s_name", F.lit(STAR))).alias("s_name")
+            sources = subjects.select("s_pred", "s_type", name).select(F.concat_ws("|", "s_pred", "s_type", "s_name").alias("node")).distinct()
         if objects is not None and not needed & self.compiled.tainted:
             name = F.explode(F.array("o_name", F.lit(R.ALL))).alias("o_name")
-            out._targets = objects.select("o_pred", "o_type", name).select(F.concat_ws("|", "o_pred", "o_type", "o_name").alias("node"))
+            targets = objects.select("o_pred", "o_type", name).select(F.concat_ws("|", "o_pred", "o_type", "o_name").alias("node"))
+        out = object.__new__(Engine)
+        out.__dict__ |= self.__dict__
+        out._reset(frozenset(needed), None if sources is None else cut(sources), targets)
         return out
 
     def _about(self, asked: DataFrame, type_: str, relation: str) -> list[Key]:
@@ -79,7 +88,7 @@ class Engine:
 
     def closure(self) -> DataFrame:
         if self._closure is None:
-            self._closure = C.reach(self.edges(), targets=self._targets)
+            self._closure = C.reach(self.edges(), self._sources, self._targets)
         return self._closure
 
     def plain(self) -> DataFrame:
@@ -100,11 +109,19 @@ class Engine:
         return self.plain().where((F.col("o_type") == key[0]) & (F.col("o_pred") == key[1])).select("o_name", "kind", *M.SUBJECT)
 
     def derive(self) -> None:
-        """Evaluate the boolean relations, lower strata first."""
+        """Evaluate the boolean relations, lower strata first; a stratum is written as one
+        table, laid out by relation."""
         for stratum in self.compiled.strata:
-            for key in stratum:
-                if key not in self._derived and (self.needed is None or key in self.needed):
-                    self._derived[key] = cut(self._evaluate(key))
+            keys = [k for k in stratum if k not in self._derived and (self.needed is None or k in self.needed)]
+            if not keys:
+                continue
+            parts = [self._evaluate(k).select(F.lit(k[1]).alias("o_pred"), F.lit(k[0]).alias("o_type"), "o_name", "kind", *M.SUBJECT) for k in keys]
+            if len(keys) == 1:
+                self._derived[keys[0]] = cut(parts[0].drop("o_pred", "o_type"))
+                continue
+            table = cut(reduce(DataFrame.unionByName, parts), "o_type", "o_pred")
+            for t, r in keys:
+                self._derived[t, r] = table.where((F.col("o_type") == t) & (F.col("o_pred") == r)).select("o_name", "kind", *M.SUBJECT)
 
     def _evaluate(self, key: Key) -> DataFrame:
         e = self.compiled.schema.relations[key]
@@ -112,6 +129,13 @@ class Engine:
         rows = reduce(DataFrame.unionByName, parts).where(F.col("o_name") != STAR)
         return M.combine(rows, ["o_name"], len(parts), lambda truths: _truth(e, iter(truths)))
 
+    def _asked(self, rows: DataFrame) -> DataFrame:
+        """Those of member rows whose subject is asked for."""
+        if self._sources is None:
+            return rows
+        node = F.concat_ws("|", *M.SUBJECT)
+        return rows.join(self._sources.withColumnRenamed("node", "__asked"), node == F.col("__asked"), "left_semi")
+
     def _leaf(self, key: Key, leaf) -> DataFrame:
         """(o_name, source, kind, subject) of one leaf."""
         t, r = key
@@ -129,6 +153,7 @@ class Engine:
         granted = granted.select(F.col("object_name").alias("o_name"), F.col("subject_type").alias("p_type"), F.col("subject_name").alias("p_name"), "via")
         kind = F.when(F.col("p_name") == STAR, "star").otherwise("pos")
         rows = granted.select("o_name", F.lit("").alias("source"), kind.alias("kind"), F.col("via").alias("s_pred"), F.col("p_type").alias("s_type"), F.col("p_name").alias("s_name"))
+        rows = self._asked(rows)  # what flows below is of asked subjects already
         flowing = granted.where(F.col("via") != BARE)
         live = R.instances(self.stored).toDF("i_type", "i_name")
         for shape in sorted(shapes):
@@ -150,16 +175,32 @@ class Engine:
         return reduce(DataFrame.unionByName, [rows.select(F.lit(k[1]).alias("o_pred"), F.lit(k[0]).alias("o_type"), "o_name", "kind", *M.SUBJECT) for k, rows in self._derived.items()], self.plain().select(*ROW))
 
     def check(self, queries: DataFrame) -> DataFrame:
-        """``queries`` with ``allowed``: up to four probes of the model for each row."""
+        """``queries`` with ``allowed``: up to four probes for each row of what the asked subjects have."""
         objects = queries.select(F.col("relation").alias("o_pred"), F.col("object_type").alias("o_type"), F.col("object_name").alias("o_name")).distinct()
-        return check(self.focus(self._about(queries, "object_type", "relation"), objects).model(), queries)
+        subjects = queries.select(*(F.col(c).alias(s) for c, s in zip(TUPLE, M.SUBJECT))).distinct()
+        return check(self.focus(self._about(queries, "object_type", "relation"), objects, subjects).model(), queries)
+
+    def evaluate(self, key: Key, subjects: DataFrame) -> DataFrame:
+        """Member rows of one relation for these subjects alone, and the stars of their shapes."""
+        engine = self.focus([key], subjects=subjects)
+        engine.derive()
+        return engine.of(key)
 
     def lookup(self, subjects: DataFrame, relations=None) -> DataFrame:
-        """``relations``: only in these (type, relation)."""
+        """All that each subject reaches, by name. ``relations``: only in these (type, relation)."""
+        return lookup(self._reached(subjects, relations), subjects)
+
+    def lookup_markers(self, subjects: DataFrame, relations=None) -> DataFrame:
+        """What each subject reaches with stars left as they are (``lookup_markers``)."""
+        return lookup_markers(self._reached(subjects, relations), subjects)
+
+    def _reached(self, subjects: DataFrame, relations) -> DataFrame:
+        engine = self.focus(self.compiled.schema.relations if relations is None else relations, subjects=subjects)
         if relations is None:
-            return lookup(self.model(), subjects)
-        wanted = self.spark.createDataFrame(sorted(relations), "o_type string, o_pred string")
-        return lookup(self.focus(relations).model().join(F.broadcast(wanted), ["o_type", "o_pred"], "left_semi"), subjects)
+            return engine.model()
+        engine.derive()
+        named = [engine.of(k).select(F.lit(k[1]).alias("o_pred"), F.lit(k[0]).alias("o_type"), "o_name", "kind", *M.SUBJECT) for k in sorted(relations)]
+        return reduce(DataFrame.unionByName, named).select(*ROW)
 
     def lookup_reverse(self, objects: DataFrame) -> DataFrame:
         return lookup_reverse(self.focus(self._about(objects, "o_type", "o_pred"), objects).model(), objects)
@@ -197,7 +238,7 @@ def check(model: DataFrame, queries: DataFrame) -> DataFrame:
 
 def lookup(model: DataFrame, subjects: DataFrame) -> DataFrame:
     """(s_pred, s_type, s_name, o_pred, o_type, o_name, marker): all that each subject
-    reaches; marker is true for a wildcard object."""
+    reaches by name, as many rows as answers; marker is true for a wildcard object."""
     s = subjects.select(*M.SUBJECT).distinct()
     named = s.join(model.where("kind = 'pos'"), list(M.SUBJECT)).select(*M.SUBJECT, *OBJECT)
     stars = model.where("kind = 'star'").select(*OBJECT, *M.SHAPE)
@@ -206,6 +247,17 @@ def lookup(model: DataFrame, subjects: DataFrame) -> DataFrame:
     return named.union(starred).distinct().withColumn("marker", F.col("o_name") == STAR)
 
 
+def lookup_markers(model: DataFrame, subjects: DataFrame) -> DataFrame:
+    """The same answer without paying for each pair of a subject and a public object: (kind, subject,
+    object) with ``pos`` an object that the subject has by name, ``star`` one that all of the subject's
+    shape have (once, subject name ``*``), ``neg`` one of those that this subject has not. A plain
+    relation may hold both pos and star of one object."""
+    s = subjects.select(*M.SUBJECT).distinct()
+    own = s.join(model.where("kind <> 'star'"), list(M.SUBJECT)).select("kind", *M.SUBJECT, *OBJECT)
+    stars = model.where("kind = 'star'").join(F.broadcast(s.select(*M.SHAPE).distinct()), list(M.SHAPE), "left_semi")  # shapes: as many as the schema has
+    return own.union(stars.select("kind", *M.SUBJECT, *OBJECT)).distinct()
+
+
 def lookup_reverse(model: DataFrame, objects: DataFrame) -> DataFrame:
     """(object, kind, subject): members, star markers and exceptions of each object."""
     o = objects.select(*OBJECT).distinct()

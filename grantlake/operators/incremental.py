@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from grantlake.operators.engine import Engine
 from grantlake.plans.compile import Compiled, stored_restrictions
 from grantlake.plans.schema import BARE, STAR, Computed, Direct, Inherited, leaves
-from grantlake.sources.storage import cut
+from grantlake.sources.storage import cut, cut_or_empty
 
 KEY = ("type", "relation", "name")
 
@@ -60,8 +60,8 @@ def affected(compiled: Compiled, stored: DataFrame, changed: DataFrame) -> DataF
             & (F.col("subject_predicate") == F.col("pred")) & (F.col("object_type") == F.col("d_type"))
         )
         over = asked.join(stored, on).select(F.col("d_type").alias("type"), F.col("d_relation").alias("relation"), F.col("object_name").alias("name"))
-        new = cut(same.union(over).distinct().join(reduce(DataFrame.union, found), list(KEY), "left_anti"))
-        if new.isEmpty():
+        new = cut_or_empty(same.union(over).distinct().join(reduce(DataFrame.union, found), list(KEY), "left_anti"))
+        if new is None:
             return reduce(DataFrame.union, found)
         found.append(new)
 

@@ -68,3 +68,15 @@ def materialize(rows: DataFrame, population: DataFrame, key: Sequence[str]) -> D
     stars = rows.where("kind = 'star'").select(*key, *SHAPE).join(population.select(*SUBJECT).distinct(), list(SHAPE))
     every = stars.select(*key, *SUBJECT).join(rows.where("kind = 'neg'").select(*key, *SUBJECT), [*key, *SUBJECT], "left_anti")
     return every.union(rows.where("kind = 'pos'").select(*key, *SUBJECT)).distinct()
+
+
+def count_members(rows: DataFrame, population: DataFrame, key: Sequence[str]) -> DataFrame:
+    """key and ``n``: how many of ``population`` each set of canonical rows holds, without
+    spreading its stars: the shape's population less the exceptions, and the named members.
+    Names outside the population count as ``materialize`` counts them."""
+    people = population.select(*SUBJECT).distinct()
+    sizes = people.groupBy(*SHAPE).agg(F.count("*").alias("size"))
+    plus = rows.where("kind = 'star'").join(F.broadcast(sizes), list(SHAPE)).select(*key, F.col("size").alias("d"))
+    less = rows.where("kind = 'neg'").join(people, list(SUBJECT), "left_semi").select(*key, F.lit(-1).cast("long").alias("d"))
+    named = rows.where("kind = 'pos'").select(*key, F.lit(1).cast("long").alias("d"))
+    return plus.unionAll(less).unionAll(named).groupBy(*key).agg(F.sum("d").alias("n")).where("n > 0")

@@ -7,6 +7,7 @@ package's operators here and plain SQL there."""
 from __future__ import annotations
 
 import re
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,8 @@ from grantlake.operators.incremental import affected, touched
 from grantlake.plans.compile import compile_schema
 from grantlake.plans.schema import parse
 from grantlake.sources import tables as T
+from grantlake.sources.storage import shared_dir
+from grantlake.streaming.store import Store
 
 _T = "'{sp}' AS subject_predicate, '{st}' AS subject_type, {s} AS subject_name, '{r}' AS relation, '{ot}' AS object_type, {o} AS object_name"
 
@@ -58,6 +61,12 @@ ACCESS = " UNION ALL ".join([PARENTS["region_nation"], PARENTS["nation_customer"
 DOCS = " UNION ALL ".join([MEMBERS, PUBLIC, BLOCKED, EDITORS, PLACED, FOLDERS, TOPICS, READERS])
 EDGES = " UNION ALL ".join(f"SELECT concat(subject_type, '|', subject_name) AS src, concat(object_type, '|', object_name) AS dst FROM ({p}) AS t" for p in PARENTS.values())
 
+_TOXIC = "(SELECT DISTINCT doc_id AS d FROM labels WHERE toxic = 1)"
+#: Canonical member sets beside those of documents' viewers.
+OTHERS = f"""SELECT concat('d', d) AS o_name, 'star' AS kind, '...' AS s_pred, 'user' AS s_type, '*' AS s_name FROM {_TOXIC} AS t
+UNION ALL SELECT concat('d', doc_id), CASE WHEN d IS NULL THEN 'pos' ELSE 'neg' END, '...', 'user', concat('u', (doc_id + k) % 150)
+FROM documents LEFT JOIN {_TOXIC} AS t ON doc_id = d CROSS JOIN (VALUES (0), (149)) AS v(k)"""
+
 ORG_SCHEMA = """
 type user
 type region
@@ -214,6 +223,18 @@ def point_reachability(spark, sf_dir):
 _NEW = "SELECT 'world|w' AS src, concat('region|r', r_regionkey) AS dst FROM region"
 
 
+def direct_edges(spark, sf_dir):
+    """Which customers and suppliers does nation n0 hold directly, and which orders?"""
+    asked = load(spark, sf_dir, "SELECT 'nation|n0' AS src, concat('customer|c', c_custkey) AS dst FROM customer UNION ALL SELECT 'nation|n0' AS src, concat('supplier|s', s_suppkey) AS dst FROM supplier UNION ALL SELECT 'nation|n0' AS src, concat('order|o', o_orderkey) AS dst FROM orders")
+    return C.has_edges(_edges(spark, sf_dir), asked)
+
+
+def edge_fanout(spark, sf_dir):
+    """How many closure rows a new edge from a world to each nation would touch."""
+    asked = load(spark, sf_dir, "SELECT concat('region|r', n_regionkey) AS src, concat('nation|n', n_nationkey) AS dst FROM nation")
+    return C.fanout(C.reach(_edges(spark, sf_dir)), asked)
+
+
 def insert_edge_delta(spark, sf_dir):
     """What new edges above all regions add to the path counts."""
     counts = C.path_counts(_edges(spark, sf_dir).groupBy("src", "dst").agg(F.count("*").alias("multiplicity")))
@@ -244,6 +265,13 @@ def outbox_delta(spark, sf_dir):
     return C.flips(C.reach(before), C.reach(after))
 
 
+GROUP_SCHEMA = """
+type user
+type group
+  relations
+    define member: [user]
+"""
+
 WILD_SCHEMA = """
 type user
 type group
@@ -302,6 +330,18 @@ def lookup(spark, sf_dir):
     return _docs(spark, sf_dir).lookup(users, [("doc", "viewer")])
 
 
+def lookup_markers(spark, sf_dir):
+    """The same with public documents as one row each, and each user's exceptions."""
+    users = load(spark, sf_dir, "SELECT DISTINCT '...' AS s_pred, 'user' AS s_type, concat('u', user_id) AS s_name FROM events WHERE event_type = 'error'")
+    return _docs(spark, sf_dir).lookup_markers(users, [("doc", "viewer")])
+
+
+def one_subject(spark, sf_dir):
+    """The boolean relation doc#viewer evaluated anew for two users alone."""
+    users = spark.createDataFrame([("...", "user", "u1"), ("...", "user", "u2")], "s_pred string, s_type string, s_name string")
+    return _docs(spark, sf_dir).evaluate(("doc", "viewer"), users)
+
+
 def lookup_reverse(spark, sf_dir):
     nations = load(spark, sf_dir, "SELECT 'viewer' AS o_pred, 'nation' AS o_type, concat('n', n_nationkey) AS o_name FROM nation")
     return _engine(spark, sf_dir, ACCESS, ACCESS_SCHEMA).lookup_reverse(nations)
@@ -335,25 +375,23 @@ def stratified_cascade(spark, sf_dir):
 
 
 def _sets(spark, sf_dir):
-    """Two member sets for each document: public or not with blocked exceptions, and editors or public."""
-    engine = _docs(spark, sf_dir).focus([("doc", "viewer"), ("doc", "restricted")])
+    """Two member sets for each document, with stars, exceptions and members on both sides: viewers,
+    and (where the label is toxic) all but the document's own user and the one before, or else these two."""
+    engine = _docs(spark, sf_dir).focus([("doc", "viewer")])
     engine.derive()
-    return engine.of(("doc", "viewer")), engine.of(("doc", "restricted")), engine
+    return engine.of(("doc", "viewer")), load(spark, sf_dir, OTHERS)
 
 
 def set_union(spark, sf_dir):
-    a, b, _ = _sets(spark, sf_dir)
-    return M.union(a, b, ["o_name"])
+    return M.union(*_sets(spark, sf_dir), ["o_name"])
 
 
 def set_intersect(spark, sf_dir):
-    a, b, _ = _sets(spark, sf_dir)
-    return M.intersect(a, b, ["o_name"])
+    return M.intersect(*_sets(spark, sf_dir), ["o_name"])
 
 
 def set_subtract(spark, sf_dir):
-    a, b, _ = _sets(spark, sf_dir)
-    return M.subtract(a, b, ["o_name"])
+    return M.subtract(*_sets(spark, sf_dir), ["o_name"])
 
 
 def star_normalize(spark, sf_dir):
@@ -367,7 +405,7 @@ def materialize(spark, sf_dir):
     engine = _docs(spark, sf_dir).focus([("doc", "viewer")])
     engine.derive()
     users = R.instances(engine.tuples).where("type = 'user'").select(F.lit("...").alias("s_pred"), F.col("type").alias("s_type"), F.col("name").alias("s_name"))
-    return M.materialize(engine.of(("doc", "viewer")), users, ["o_name"]).groupBy("o_name").agg(F.count("*").alias("n"))
+    return M.count_members(engine.of(("doc", "viewer")), users, ["o_name"])
 
 
 def log_fold(spark, sf_dir):
@@ -408,17 +446,61 @@ def affected_keys(spark, sf_dir):
 
 
 def invariants(spark, sf_dir):
-    """The number of violations of each kind: all 0."""
+    """Violations of each kind in sound state (none) and in state with planted damage: a closure without its
+    pairs into suppliers and with every supplier above its nation, member sets with
+    editors put in again under stars and exceptions without them, deltas that lack the supplier rows."""
     edges = _edges(spark, sf_dir)
-    reached, engine = C.reach(edges), _docs(spark, sf_dir)
-    model, derived = engine.model(), spark.createDataFrame([(r, t) for t, r in sorted(engine.compiled.tainted)], "o_pred string, o_type string")
-    kinds = {"missing": I.missing_steps(reached, edges), "unsupported": I.unsupported_pairs(reached, edges), "form": I.uncanonical(model, F.broadcast(derived)), "deltas": I.wrong_deltas(C.flips(reached, reached.where("dst like 'nation|%'")), reached, reached.where("dst like 'nation|%'"))}
+    reached, engine = C.reach(edges), _docs(spark, sf_dir).focus([("doc", "viewer")])
+    engine.derive()
+    model = engine.of(("doc", "viewer")).select(F.lit("viewer").alias("o_pred"), F.lit("doc").alias("o_type"), "o_name", "kind", *M.SUBJECT)
+    kept = reached.where("dst like 'nation|%'")
+    deltas = C.flips(reached, kept)
+    editor = load(spark, sf_dir, EDITORS).select(F.lit("viewer").alias("o_pred"), F.lit("doc").alias("o_type"), F.col("object_name").alias("o_name"), F.lit("pos").alias("kind"), F.lit("...").alias("s_pred"), F.lit("user").alias("s_type"), F.col("subject_name").alias("s_name"))
+    upward = edges.where("dst like 'supplier|%'").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    starless = editor.withColumn("kind", F.lit("neg")).withColumn("o_pred", F.lit("starless"))
+    kinds = {
+        "missing": I.missing_steps(reached, edges),
+        "missing_damaged": I.missing_steps(reached.where("dst not like 'supplier|%'"), edges),
+        "unsupported": I.unsupported_pairs(reached, edges),
+        "unsupported_damaged": I.unsupported_pairs(reached.union(upward), edges),
+        "form": I.uncanonical(model),
+        "form_damaged": I.uncanonical(model.unionByName(editor).unionByName(starless)),
+        "deltas": I.wrong_deltas(deltas, reached, kept),
+        "deltas_damaged": I.wrong_deltas(deltas.where("dst not like 'supplier|%'"), reached, kept),
+    }
     return reduce(DataFrame.union, [df.agg(F.count("*").alias("violations")).select(F.lit(k).alias("kind"), "violations") for k, df in kinds.items()])
 
 
+def _store(spark, sf_dir, tuples: str, schema: str):
+    """A store whose log is written in two files (in no order of ids), then followed file by file."""
+    store = Store(spark, f"{shared_dir(spark)}/grantlake-store-{uuid.uuid4().hex}", parse(schema))
+    T.append_log(load(spark, sf_dir, tuples).repartition(2, "object_name"), f"{store.path}/log")
+    store.advance(files=1)
+    return store
+
+
+def store_follow(spark, sf_dir):
+    """The log of joining and leaving, followed by a store: members of each group in its newest version."""
+    rows = _store(spark, sf_dir, LOG, GROUP_SCHEMA).model()
+    return rows.groupBy("o_name").agg(F.count("*").alias("n"), F.min("s_name").alias("least"), F.max("s_name").alias("most"))
+
+
+def store_outbox(spark, sf_dir):
+    """What came and went over all versions of that store: added less removed is what is there."""
+    rows = _store(spark, sf_dir, LOG, GROUP_SCHEMA).outbox()
+    return rows.groupBy("src", "dst").agg(F.sum(F.when(F.col("action") == "ADDED", 1).otherwise(-1)).alias("n")).where("n <> 0")
+
+
+def store_replay(spark, sf_dir):
+    """The state at a cursor: the log folded up to half of its head."""
+    log = load(spark, sf_dir, LOG)
+    return T.fold_log(log.where(F.col("log_id") <= T.log_head(log).first()[0] // 2)).select(*TUPLE)
+
+
 _NAMES = """snapshot_scan tuple_admission reject_reasons pattern_match rewrite_fixpoint direct_multiplicity reference_counts
-closure path_counts topo_levels reach_forward reach_reverse point_reachability insert_edge_delta remove_edge_delta remove_node cycle_check
-outbox_delta bridges population wildcard_check check_batch ghost_check expand lookup lookup_reverse inherited_access boolean_exclusion
+closure path_counts topo_levels reach_forward reach_reverse point_reachability direct_edges edge_fanout insert_edge_delta remove_edge_delta remove_node cycle_check
+outbox_delta bridges population wildcard_check check_batch ghost_check expand lookup lookup_markers one_subject lookup_reverse inherited_access boolean_exclusion
 boolean_intersection derived_ttu derived_userset stratified_cascade set_union set_intersect set_subtract star_normalize materialize
-log_fold log_head log_tail log_gap index_lag outbox_prune affected_keys invariants""".split()
+log_fold log_head log_tail log_gap index_lag outbox_prune affected_keys invariants
+store_follow store_outbox store_replay""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}

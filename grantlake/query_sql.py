@@ -44,6 +44,30 @@ def _ask(*statements: str) -> str:
 
 _viewer_of = lambda s: Q._tuple("...", "user", s, "viewer", "doc", "concat('d', doc_id)") + " FROM documents"
 
+
+_FOLD = "SELECT subject_predicate, subject_type, subject_name, relation, object_type, object_name FROM (SELECT *, row_number() OVER (PARTITION BY subject_name, object_name ORDER BY log_id DESC) AS k FROM ({log}) AS l) AS x WHERE k = 1 AND op = 'ADD'"
+
+
+def _sets(holds: str) -> str:
+    """A set operation said by membership: who is in either set, decided for every name that one of them
+    mentions and for the star, and kept where it differs from the star."""
+    inside = lambda s: f"(bool_or(src = '{s}' AND kind = 'pos') OR (bool_or(src = '{s}' AND kind = 'star') AND NOT bool_or(src = '{s}' AND kind = 'neg')))"
+    return f"""WITH {_DOCS}, both_sets AS (
+  SELECT 'a' AS src, o_name, kind, s_name FROM viewer UNION ALL SELECT 'b', o_name, kind, s_name FROM ({Q.OTHERS}) AS x
+), stars AS (
+  SELECT DISTINCT src, o_name, kind FROM both_sets WHERE kind = 'star'
+), said AS (
+  SELECT src, o_name, kind, s_name FROM both_sets
+  UNION ALL SELECT stars.src, o_name, 'star', s_name FROM (SELECT DISTINCT o_name, s_name FROM both_sets WHERE s_name <> '*') AS n JOIN stars USING (o_name)
+), judged AS (
+  SELECT o_name, s_name, {inside("a")} AS a, {inside("b")} AS b FROM said GROUP BY o_name, s_name
+), decided AS (
+  SELECT o_name, s_name, coalesce({holds}, false) AS held, bool_or(s_name = '*' AND coalesce({holds}, false)) OVER (PARTITION BY o_name) AS starred FROM judged
+)
+SELECT o_name, CASE WHEN s_name = '*' THEN 'star' WHEN held THEN 'pos' ELSE 'neg' END AS kind, '...' AS s_pred, 'user' AS s_type, s_name
+FROM decided WHERE CASE WHEN s_name = '*' THEN held ELSE held <> starred END"""
+
+
 SQL = {
     "snapshot_scan": f"SELECT relation, object_type, count(*) AS n, count(DISTINCT (subject_predicate, subject_type, subject_name, object_name)) AS n_distinct FROM ({Q.ORG}) AS t GROUP BY relation, object_type",
     "tuple_admission": _ADMITTED,
@@ -70,6 +94,8 @@ SQL = {
     "ghost_check": _ask(_viewer_of("'ghost'"), _viewer_of("'*'")),
     "expand": f"WITH {_DOCS} SELECT 'viewer' AS o_pred, 'doc' AS o_type, {_ROWS} FROM viewer",
     "lookup": f"WITH {_DOCS} SELECT DISTINCT '...' AS s_pred, 'user' AS s_type, u AS s_name, 'viewer' AS o_pred, 'doc' AS o_type, o_name, false AS marker FROM (SELECT u, o_name FROM errors, public WHERE o_name NOT IN (SELECT o_name FROM blocked) UNION ALL SELECT u, o_name FROM editors JOIN errors USING (u)) AS x",
+    "lookup_markers": f"WITH {_DOCS} SELECT kind, '...' AS s_pred, 'user' AS s_type, s_name, 'viewer' AS o_pred, 'doc' AS o_type, o_name FROM viewer WHERE kind = 'star' OR s_name IN (SELECT u FROM errors)",
+    "one_subject": f"WITH {_DOCS} SELECT {_ROWS} FROM viewer WHERE kind = 'star' OR s_name IN ('u1', 'u2')",
     "lookup_reverse": f"WITH n AS (SELECT concat('n', n_nationkey) AS o_name, concat('r', n_regionkey) AS r FROM nation), v AS ({Q.VIEWERS}), g AS (SELECT o_name, r, subject_name AS g FROM n JOIN v ON r = object_name), m AS ({Q.MEMBERS}) SELECT DISTINCT 'viewer' AS o_pred, 'nation' AS o_type, o_name, 'pos' AS kind, s_pred, s_type, s_name FROM (SELECT o_name, 'viewer' AS s_pred, 'region' AS s_type, r AS s_name FROM n UNION ALL SELECT o_name, 'member', 'group', g FROM g UNION ALL SELECT o_name, '...', 'user', subject_name FROM g JOIN m ON g = object_name) AS x",
     "inherited_access": f"WITH v AS ({Q.VIEWERS}), m AS ({Q.MEMBERS}) SELECT concat('c', c_custkey) AS o_name, count(DISTINCT m.subject_name) AS n_viewers FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN v ON concat('r', n_regionkey) = v.object_name JOIN m ON m.object_name = v.subject_name GROUP BY c_custkey",
     "boolean_exclusion": f"WITH {_DOCS} SELECT {_ROWS} FROM viewer",
@@ -77,9 +103,9 @@ SQL = {
     "derived_ttu": f"WITH {_DOCS} SELECT * FROM conv_viewer",
     "derived_userset": f"WITH {_DOCS} SELECT * FROM page_reader",
     "stratified_cascade": f"WITH {_DOCS} SELECT o_type, o_pred, kind, count(*) AS n FROM (SELECT 'doc' AS o_type, 'viewer' AS o_pred, kind FROM viewer UNION ALL SELECT 'doc', 'restricted', kind FROM restricted UNION ALL SELECT 'conv', 'viewer', kind FROM conv_viewer UNION ALL SELECT 'page', 'reader', kind FROM page_reader) AS x GROUP BY ALL",
-    "set_union": f"WITH {_DOCS} SELECT {_ROWS} FROM viewer",
-    "set_intersect": f"WITH {_DOCS} SELECT {_ROWS} FROM restricted",
-    "set_subtract": f"WITH {_DOCS} SELECT {_ROWS} FROM (SELECT * FROM viewer UNION ALL SELECT o_name, 'neg', s_name FROM restricted) AS x",
+    "set_union": _sets("a OR b"),
+    "set_intersect": _sets("a AND b"),
+    "set_subtract": _sets("a AND NOT b"),
     "star_normalize": f"WITH {_DOCS} SELECT {_ROWS} FROM viewer WHERE kind <> 'neg'",
     "materialize": f"WITH {_DOCS}, users AS (SELECT concat('u', user_id) AS u FROM events UNION SELECT u FROM editors) SELECT o_name, count(*) AS n FROM (SELECT o_name, u FROM public, users EXCEPT SELECT o_name, s_name FROM viewer WHERE kind = 'neg' UNION ALL SELECT o_name, s_name FROM viewer WHERE kind = 'pos') AS x GROUP BY o_name",
     "log_fold": f"SELECT subject_predicate, subject_type, subject_name, relation, object_type, object_name FROM (SELECT *, row_number() OVER (PARTITION BY subject_name, object_name ORDER BY log_id DESC) AS k FROM ({Q.LOG}) AS l) AS x WHERE k = 1 AND op = 'ADD'",
@@ -89,5 +115,14 @@ SQL = {
     "index_lag": "SELECT count(*) AS lag FROM events WHERE event_id > (SELECT max(event_id) // 2 FROM events)",
     "outbox_prune": f"SELECT log_id AS id, store_id, op AS action, subject_name AS src, object_name AS dst FROM ({Q.LOG}) AS l WHERE log_id >= (SELECT max(event_id) * 2 // 3 FROM events) OR log_id = (SELECT max(event_id) FROM events)",
     "affected_keys": f"WITH {_DOCS} SELECT 'doc' AS type, r AS relation, o_name AS name FROM blocked, (VALUES ('blocked'), ('viewer')) AS v(r) UNION ALL SELECT 'conv', 'viewer', v FROM conv JOIN blocked ON o_name = d UNION ALL SELECT 'page', 'reader', v FROM page JOIN blocked ON o_name = d",
-    "invariants": "SELECT kind, 0 AS violations FROM (VALUES ('missing'), ('unsupported'), ('form'), ('deltas')) AS v(kind)",
+    "invariants": f"""WITH {_DOCS} SELECT kind, violations FROM (VALUES ('missing', 0), ('unsupported', 0), ('form', 0), ('deltas', 0)) AS v(kind, violations)
+UNION ALL SELECT 'missing_damaged', 2 * (SELECT count(*) FROM supplier)
+UNION ALL SELECT 'unsupported_damaged', (SELECT count(*) FROM supplier)
+UNION ALL SELECT 'form_damaged', (SELECT count(*) FROM editors JOIN public USING (o_name)) + (SELECT count(*) FROM editors) + (SELECT count(*) FROM (SELECT o_name, u FROM editors EXCEPT SELECT o_name, u FROM editors JOIN public USING (o_name)) AS twice)
+UNION ALL SELECT 'deltas_damaged', 2 * (SELECT count(*) FROM supplier)""",
+    "direct_edges": "SELECT 'nation|n0' AS src, concat('customer|c', c_custkey) AS dst, c_nationkey = 0 AS direct FROM customer UNION ALL SELECT 'nation|n0', concat('supplier|s', s_suppkey), s_nationkey = 0 FROM supplier UNION ALL SELECT 'nation|n0', concat('order|o', o_orderkey), false FROM orders",
+    "edge_fanout": f"WITH down AS (SELECT src AS dst, count(*) AS d FROM ({_reach(where="WHERE src LIKE 'nation|%'")}) AS r GROUP BY src) SELECT concat('region|r', n_regionkey) AS src, concat('nation|n', n_nationkey) AS dst, coalesce(d, 0) + 1 AS touched FROM nation LEFT JOIN down ON dst = concat('nation|n', n_nationkey)",
+    "store_follow": f"SELECT object_name AS o_name, count(*) AS n, min(subject_name) AS least, max(subject_name) AS most FROM ({_FOLD.format(log=Q.LOG)}) AS f GROUP BY object_name",
+    "store_outbox": f"SELECT concat('...|user|', subject_name) AS src, concat('member|group|', object_name) AS dst, 1 AS n FROM ({_FOLD.format(log=Q.LOG)}) AS f",
+    "store_replay": _FOLD.format(log=f"SELECT * FROM ({Q.LOG}) AS h WHERE log_id <= (SELECT max(event_id) // 2 FROM events)"),
 }

@@ -6,14 +6,19 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import functions as F
+
+_SEQ = (1 << 33) - 1  # monotonically_increasing_id keeps the row's place in the low 33 bits
 
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session, which all executors share; where it
-    is unset (tests on one machine), a temporary folder."""
+    is unset and all runs on one machine (tests), a temporary folder. A cluster has to name it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='grantlake-')}"
         spark.conf.set("spark.checkpoint.dir", root)
         atexit.register(delete, spark, root)
@@ -40,3 +45,27 @@ def cut(df: DataFrame, *by: str) -> DataFrame:
     else:
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def cut_counting(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``cut`` and, from the same job, the values of aggregates over what was written. A task
+    that ran twice may count twice, so only ask whether they are 0."""
+    seen = Observation()
+    out = cut(df.observe(seen, *(c.alias(name) for name, c in measures.items())))
+    return out, {name: seen.get[name] or 0 for name in measures}
+
+
+def cut_or_empty(df: DataFrame) -> DataFrame | None:
+    """``cut``, or None if there are no rows."""
+    out, seen = cut_counting(df, n=F.count(F.lit(1)))
+    return out if seen["n"] else None
+
+
+def numbered(rows: DataFrame, start: int, order: list[str], name: str) -> DataFrame:
+    """Give rows the ids start+1, start+2, ... in a total order: they are dealt by range and
+    sorted where they are, and each part adds the row counts of those before (one row a part)."""
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut(dealt.withColumn("__part", F.spark_partition_id()).withColumn("__seq", F.monotonically_increasing_id().bitwiseAND(F.lit(_SEQ))))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = placed.groupBy("__part").agg(F.count("*").alias("n")).select("__part", before.alias("__before"))
+    return placed.join(F.broadcast(parts), "__part").withColumn(name, (F.col("__before") + F.col("__seq") + F.lit(start + 1)).cast("long")).select(*rows.columns, name)

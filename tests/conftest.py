@@ -11,6 +11,7 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
+        .config("spark.sql.codegen.wholeStage", "false")  # hundreds of tiny jobs, whose code would run once
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
