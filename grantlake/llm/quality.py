@@ -86,13 +86,13 @@ def score(docs: DataFrame, rules=RULES, text_col: str = "text") -> DataFrame:
         F.expr("cast(if(size(__at) = 0, 0, 3 + aggregate(zip_with(slice(__at, 2, size(__at)), slice(__at, 1, size(__at) - 1), (b, a) -> least(3, b - a)), 0, (s, x) -> s + x)) as bigint)"),
     )
     step = step.drop("__text", "__words", "__lines", "__grams", "__order", "__at")
-    return step.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")).withColumn("kept", F.expr(f"not base_failed and ({verdict(rules)})"))
+    step = step.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")).withColumn("kept", F.expr(f"not base_failed and ({verdict(rules)})"))
+    # A filter on a result would be pushed down with all that it is computed from written out again and
+    # again, and arrays built anew inside lambdas. It does not pass a projection that is not deterministic.
+    return step.withColumns({c: F.when(F.monotonically_increasing_id() >= 0, F.col(c)) for c in (*MEASURES, "base_failed", "kept")})
 
 
 def keep(docs: DataFrame, rules=RULES, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns alone."""
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc"), F.col(f"`{text_col}`").alias("__raw"))
-    # a filter on a deterministic column would be pushed down with all it is computed from
-    # written out again and again, so that arrays are built inside lambdas
-    scored = score(whole, rules, "__raw").withColumn("__row", F.monotonically_increasing_id())
-    return scored.where("kept and __row >= 0").select("__doc.*")
+    return score(whole, rules, "__raw").where("kept").select("__doc.*")
