@@ -15,6 +15,9 @@ Everything is DataFrame functions in one scan of the texts. The corpus-wide rule
 histogram of p-values of at most ``len(LENGTHS) * (BINS + 1)`` rows, whatever
 the input.
 
+Every step costs no more than in proportion to a token's length (times the alphabet's), so one
+token of megabytes is no special case.
+
 Spans are code points, end exclusive, of the whole match. Defined cases: a null
 text is empty and has no spans; rows that repeat are scanned alike, and count as
 often in the histogram; an empty table gives an empty table; input columns with the names of results are
@@ -92,7 +95,7 @@ def battery(df: DataFrame, name: str) -> DataFrame:
     arrays = (
         f"transform({name}, x -> named_struct('start', x.start, 'stop', x.stop, 's', rtrim('=', x.s)))",
         f"transform({name}, x -> named_struct('start', x.start, 'stop', x.stop, 's', {case('token')}, 'a', {case('alphabet')}))",
-        f"transform({name}, x -> named_struct('start', x.start, 'stop', x.stop, 'n', double(length(x.s)), 'm', double(length(x.a)), 'v', transform(sequence(1, length(x.s)), i -> double(locate(substr(x.s, i, 1), x.a) - 1))))",
+        f"transform({name}, x -> named_struct('start', x.start, 'stop', x.stop, 'n', double(length(x.s)), 'm', double(length(x.a)), 'v', transform(filter(split(x.s, ''), c -> c <> ''), c -> double(locate(c, x.a) - 1))))",
         # sums: squared counts, high half, changes of half, mean
         f"transform({name}, x -> named_struct('start', x.start, 'stop', x.stop, 'n', x.n, 'm', x.m, 'v', x.v, "
         "'q', aggregate(array_distinct(x.v), 0D, (t, c) -> t + power(double(size(filter(x.v, y -> y = c))), 2)), "
