@@ -6,13 +6,14 @@ spherical k-means, and a text gets the language of the centroid with the
 greatest cosine. A text farther from it than nearly all of the
 centroid's own training texts is marked as not accepted.
 
-The fit sees at most ``SAMPLE`` labelled texts a language, chosen by a hash;
-its state is ``DIMENSIONS`` weights and one vector for each centroid. Every text
-is classified whole, in one scan without shuffle.
+The fit sees about ``SAMPLE`` labelled texts a language, chosen by a hash below SAMPLE / count, each
+as its vector of ``DIMENSIONS`` numbers whatever its length; its state is ``DIMENSIONS`` weights
+and one vector for each centroid. Every text is classified whole, in one scan without shuffle.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and
 not accepted; rows without a language are never learned from; rows that repeat
-are learned from once and classified alike; with nothing to learn from every text is ``und``;
+are classified alike; texts of any length are read whole; of equally near
+centroids the first by language wins; with nothing to learn from every text is ``und``;
 an empty table gives an empty table; other columns are ignored.
 """
 
@@ -22,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grantlake.llm._shared import Scratch, ship, slices
@@ -56,22 +57,26 @@ def counts(column: pa.Array) -> np.ndarray:
     return np.log1p(out, out=out)
 
 
-def vectors(column: pa.Array, idf: np.ndarray) -> np.ndarray:
-    x = counts(column) * idf
+def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
+def _count(batches):
+    for batch in slices(batches, 2 << 20):
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([row.tobytes() for row in counts(batch.column(0))], pa.binary())], ["lang", "counts"])
+
+
 def _document_frequency(batches):
     total, n = np.zeros(DIMENSIONS, np.int64), 0
-    for batch in slices(batches, 2 << 20):
-        total += (counts(batch.column(0)) > 0).sum(0)
-        n += batch.num_rows
+    for batch in batches:
+        for row in batch.column(0):
+            total += np.frombuffer(row.as_buffer(), np.float32) > 0
+            n += 1
     yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "df"])
 
 
-def _cluster(texts: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means from far-apart starts: (centroids, least cosine accepted)."""
-    x = vectors(texts, idf)
+def _cluster(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spherical k-means of unit vectors from far-apart starts: (centroids, least cosine accepted)."""
     picks = [int(np.argmax(x @ x.mean(0)))]
     while len(picks) < min(CENTROIDS, len(x)):
         picks.append(int(np.argmin((x @ x[picks].T).max(1))))
@@ -96,7 +101,7 @@ class Model:
         letters = np.asarray(pc.fill_null(pc.match_substring_regex(column, _LETTER), False).to_numpy(zero_copy_only=False), bool)
         if not self.languages:
             return [UNKNOWN] * len(column), np.zeros(len(column)), np.zeros(len(column), bool)
-        cos = vectors(column, self.idf) @ self.centers.T
+        cos = unit(counts(column) * self.idf) @ self.centers.T
         near = cos.argmax(1)
         best = cos[np.arange(len(near)), near]
         return [self.languages[k] if ok else UNKNOWN for k, ok in zip(near, letters, strict=True)], np.where(letters, np.clip(best, 0, 1), 0).astype(float), letters & (best >= self.least[near])
@@ -108,23 +113,21 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
     spark = labelled.sparkSession
     ship(spark)
     scratch = scratch or Scratch(spark)
-    rows = labelled.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"), F.xxhash64(F.col(f"`{key_col}`")).alias("h")).where("lang is not null")
-    # the SAMPLE least hashes of each language: partial limits come before the small shuffle
-    ranked = rows.where("text is not null").select("lang", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= SAMPLE)
-    limits = ranked.groupBy("lang").agg(F.max("h").alias("most"))
-    bounds = {r["lang"]: r["most"] for r in limits.collect()}  # one number for each language
-    if not bounds:
+    rows = labelled.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"), F.xxhash64(F.col(f"`{key_col}`")).alias("h")).where("lang is not null and text is not null")
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one number for each language
+    if not sizes:
         return Model(np.ones(DIMENSIONS, np.float32), [], np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, np.float32))
-    chosen = F.lit(False)
-    for lang, most in bounds.items():
-        chosen = chosen | ((F.col("lang") == lang) & (F.col("h") <= most))
-    sample = scratch.write(rows.where(chosen & F.col("text").isNotNull()).dropDuplicates(["lang", "h"]).select("text", "lang"), "sample")
-    parts = sample.select("text").coalesce(8).mapInArrow(_document_frequency, "n long, df binary").collect()  # at most 8 rows of DIMENSIONS numbers
+    # a row's hash as a share of all hashes, below the share that its language can give
+    drawn, chosen = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)), F.lit(False)
+    for lang, size in sizes.items():
+        chosen = chosen | ((F.col("lang") == lang) & (drawn < F.lit(SAMPLE / size)))
+    sample = scratch.write(rows.where(chosen).select("text", "lang").mapInArrow(_count, "lang string, counts binary"), "sample")
+    parts = sample.select("counts").coalesce(8).mapInArrow(_document_frequency, "n long, df binary").collect()  # at most 8 rows of DIMENSIONS numbers
     n, df = sum(p["n"] for p in parts), sum(np.frombuffer(p["df"], np.int64) for p in parts)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32)
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        centers, least = _cluster(pa.array(pdf["text"], pa.string()), idf)
+        centers, least = _cluster(unit(np.stack([np.frombuffer(c, np.float32) for c in pdf["counts"]]) * idf))
         return pd.DataFrame({"lang": pdf["lang"].iloc[0], "center": [c.tobytes() for c in centers], "least": least.astype(float)})
 
     found = sorted(sample.groupBy("lang").applyInPandas(learn, "lang string, center binary, least double").collect(), key=lambda r: (r["lang"], r["center"]))
