@@ -51,7 +51,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.thread(table(spark, sf_dir, "conversations"))
+    return chat.thread(table(spark, sf_dir, "conversations"), wrapped=False, least_chars=chat.LEAST_CHARS)
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
