@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed values of the query contracts.
@@ -19,9 +19,12 @@ _SEQ = (1 << 33) - 1  # monotonically_increasing_id keeps the row's place in the
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the
-    session; where that is unset (tests, one machine), a temporary folder."""
+    session; where that is unset and all runs on one machine (tests), a temporary
+    folder. A cluster has to name it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='grantlake-')}"
         spark.conf.set("spark.checkpoint.dir", root)
         atexit.register(_remove, spark, root)
@@ -54,6 +57,13 @@ class Scratch:
         df.write.option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def write_counting(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """``write`` and, from the same job, the number of rows. A task that ran twice may count
+        twice, so only ask whether it is 0."""
+        seen = Observation()
+        out = self.write(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+        return out, seen.get["n"] or 0
+
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             for file in df.inputFiles()[:1]:

@@ -21,9 +21,11 @@ the rare shingles of their full sets (``prefix_pairs``). Links inside one compon
 are not looked for: they cannot change it.
 
 Defined cases: null or empty texts and texts without words have no shingles and
-link with nothing; a text of fewer than ``width`` words is one shingle; repeated
-rows fall into one class; ids that repeat are one document; a null id is kept as a
-row of its own component; an empty table gives an empty table.
+link with nothing; a text of fewer than ``width`` words is one shingle; texts of any
+length give all their shingles; repeated rows fall into one class, and ``dedup`` keeps one row
+of an id; ids that repeat with different texts are one document, confirmed by the least of its texts; a
+null id is kept as a row of its own component; of equally central leaders the least id leads; an
+empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -122,10 +124,19 @@ def prefix_pairs(scratch: Scratch, texts: DataFrame, labels: DataFrame, width: i
     mine = grams.join(shared, "g").withColumn("r", F.row_number().over(order)).withColumn("m", F.count("*").over(Window.partitionBy("id", "n")))
     # passed: shingles of the text before this one, those that no other text has being the rarest
     mine = mine.withColumn("passed", F.col("n") - F.col("m") + F.col("r") - 1).where((F.col("n") - F.col("passed")) * high >= F.col("n") * low)
-    mine = scratch.write(mine.join(labels, "id").select("g", "id", "component", "n", "passed"), "prefix")
-    x, y = mine.toDF("g", "a", "ca", "na", "pa"), mine.toDF("g", "b", "cb", "nb", "pb")
-    reach = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) * (low + high) >= (F.col("na") + F.col("nb")) * low
-    return x.join(y, (x["g"] == y["g"]) & (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & reach).select("a", "b").distinct()
+    left = (F.col("n") - F.col("passed")).alias("left")
+    mine = scratch.write(mine.join(labels, "id").select("g", "id", "component", "n", left), "prefix")
+    # (size, what is left of it) says whether two texts can meet at a shingle, so classes of texts are held against
+    # each other first; a shingle of many texts that cannot meet there brings no two of them together
+    classes = mine.groupBy("g", "n", "left").agg(F.count("*").alias("texts"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    u, v = (classes.toDF("g", *(f"{c}_{k}" for c in ("n", "left", "texts", "lo", "hi"))) for k in "uv")
+    reach = F.least("left_u", "left_v") * (low + high) >= (F.col("n_u") + F.col("n_v")) * low
+    in_order = (F.col("n_u") < F.col("n_v")) | ((F.col("n_u") == F.col("n_v")) & (F.col("left_u") <= F.col("left_v")))
+    apart = F.least("lo_u", "lo_v") < F.greatest("hi_u", "hi_v")  # not all in one component
+    meeting = u.join(v, "g").where(in_order & reach & apart).select("g", "n_u", "left_u", "n_v", "left_v")
+    x, y = mine.toDF("g", "a", "ca", "n_u", "left_u"), mine.toDF("g", "b", "cb", "n_v", "left_v")
+    met = x.join(meeting, ["g", "n_u", "left_u"]).join(y, ["g", "n_v", "left_v"]).where("ca <> cb")
+    return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def min_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
@@ -178,16 +189,20 @@ def link_components(
     lists = ranked.select("rep", weight.alias("weight"), F.explode(F.slice(F.col("e"), F.lit(1), room)).alias("x"))
     lists = scratch.write(lists.select("rep", "weight", "x.pos", "x.val"), "lists")
     busy = lists.groupBy("pos", "val").agg(F.count("*").alias("n")).where("n >= 2")
-    lists = scratch.write(lists.join(busy.select("pos", "val"), ["pos", "val"]), "lists")
+    lists, n = scratch.write_counting(lists.join(busy.select("pos", "val"), ["pos", "val"]), "lists")
+    if not n:
+        return reps.select(F.col("rep").alias("id"), F.col("rep").alias("component")).limit(0)
 
     met = lists.select(F.col("rep").alias("id")).distinct()
-    texts = scratch.write(docs.join(met, "id").dropDuplicates(["id"]).select("id", "text"), "texts")
+    texts = scratch.write(docs.join(met, "id").groupBy("id").agg(F.min("text").alias("text")), "texts")
     labels = scratch.write(met.withColumn("component", F.col("id")), "labels")
     key, edges = ["pos", "val"], None
     for step in range(STAR_ROUNDS + 1):
         placed = lists.join(labels.toDF("rep", "comp"), "rep")
         mixed = placed.groupBy(*key).agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-        placed = scratch.write(placed.join(mixed.select(*key), key), "placed")
+        placed, n = scratch.write_counting(placed.join(mixed.select(*key), key), "placed")
+        if not n:
+            break
         if step < STAR_ROUNDS:
             sizes = placed.groupBy(*key, "comp").agg(F.count("*").alias("n"))
             main = sizes.groupBy(*key).agg(F.max(F.struct("n", "comp")).alias("m")).select(*key, F.col("m.comp").alias("main"))
@@ -199,8 +214,10 @@ def link_components(
         else:
             open_ = scratch.write(placed.select(F.col("rep").alias("id"), F.col("comp").alias("component")).distinct(), "open")
             pairs = prefix_pairs(scratch, texts.join(open_.select("id"), "id", "left_semi"), open_, width, percent)
-        found = scratch.write(_collide(pairs, reps, matches, percent), "pairs")
-        links = scratch.write(confirm(found, texts, width, percent), "links")
+        found, n = scratch.write_counting(_collide(pairs, reps, matches, percent), "pairs")
+        links, n = scratch.write_counting(confirm(found, texts, width, percent), "links") if n else (None, 0)
+        if not n:
+            continue
         edges = links if edges is None else edges.union(links)
         known = min_components(scratch, edges).withColumnRenamed("component", "c")
         labels = scratch.write(met.join(known, "id", "left").select("id", F.coalesce("c", "id").alias("component")), "labels")
@@ -227,6 +244,12 @@ def near_duplicates(
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` whose document is kept."""
-    kept = near_duplicates(docs, id_col, **options).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi")
+    """The rows of ``docs`` whose document is kept, one for each id; all rows without an id."""
+    scratch = options.pop("scratch", None) or Scratch(docs.sparkSession)
+    kept = near_duplicates(docs, id_col, scratch=scratch, **options).where("kept").groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__rows"))
+    kept = scratch.write(kept, "kept")
+    several = (F.col("__rows") > 1) & F.col("__kept").isNotNull()
+    join = lambda k: docs.join(k, docs[id_col].eqNullSafe(k["__kept"]), "left_semi")
+    if kept.where(several).isEmpty():
+        return join(kept)
+    return join(kept.where(~several)).unionByName(join(kept.where(several)).dropDuplicates([id_col]))
