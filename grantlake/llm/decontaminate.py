@@ -10,8 +10,9 @@
 3. Windows of about an item's length slide over each text and are compared with the
    items of that length by cosine. Only windows that step 4 would refuse in any case are left
    out: those whose surroundings hold fewer benchmark words, or lighter ones (by inverse
-   frequency), than the lightest ``COVER`` of any of these items. Runs of ``RUN_WORDS``
-   words that an item has are looked up by hash, whatever stands around them.
+   frequency), than the lightest ``COVER`` of any of these items, and of the pairs of window and item
+   above the cosine those whose surroundings do not hold ``COVER`` of the item's words in any order. Runs of
+   ``RUN_WORDS`` words that an item has are looked up by hash, whatever stands around them.
 4. Candidates are checked word by word: the longest common subsequence of item
    and surroundings must cover ``COVER`` of the item, and half of its ending
    (the answer) must be there, unless nearly all of the item is; a long run of the
@@ -25,9 +26,10 @@ case, so that neither case nor marks hide an item.
 Items of ``EXACT_WORDS`` to ``LEAST_WORDS`` - 1 words are looked up whole, word for word, apart
 from the latent search; as they may occur by chance, their rows are told by a null cosine.
 
-Defined cases: null or empty texts match nothing; items of fewer than
-``EXACT_WORDS`` words, null ones included, are not searched for; items and rows that repeat are reported for each id once; an empty
-table on either side gives no matches; other columns are ignored.
+Defined cases: null or empty texts match nothing; texts of any length are searched whole; items of fewer than
+``EXACT_WORDS`` words, null ones included, are not searched for; items and rows that repeat are reported for each id once,
+of equally good places the first; a null id is reported as null; an empty table on either side gives no matches; other
+columns are ignored. ``remove`` goes by the text, not the id: rows with a null or repeated id go or stay by what they hold.
 """
 
 from __future__ import annotations
@@ -50,6 +52,9 @@ COSINE, COVER, SURE, ANSWER_WORDS = 0.5, 0.75, 0.9, 4
 #: So many words in a row count as the item, too, if they are this share of it.
 RUN_WORDS, RUN_SHARE = 20, 0.4
 _TERMS = 64  # terms of one block of the sketch
+#: Tasks that each emit one part of the sketch, so a block's parts that meet in a task are bounded.
+PARTS = 256
+_CELLS = 1 << 22  # numbers in one matrix of the search
 
 
 def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -129,13 +134,11 @@ def sketch(codes: list[np.ndarray], idf: np.ndarray, test: np.ndarray) -> np.nda
     out = np.zeros((len(idf), test.shape[1]))
     if not len(passage):
         return out
-    weight = _rows(passage, term, count, idf).astype(np.float32)
-    first = np.flatnonzero(np.diff(passage, prepend=-1))
-    y = np.add.reduceat(weight[:, None] * test[term], first, axis=0)
+    weight = _rows(passage, term, count, idf)
     row = np.cumsum(np.diff(passage, prepend=passage[0]) > 0)
-    order = np.argsort(term, kind="stable")
-    heads = np.flatnonzero(np.diff(term[order], prepend=-1))
-    out[term[order][heads]] = np.add.reduceat(weight[order, None] * y[row[order]], heads, axis=0)
+    for k, column in enumerate(np.ascontiguousarray(test.T, np.float64)):
+        y = np.bincount(row, weight * column[term])
+        out[:, k] = np.bincount(term, weight * y[row], len(idf))
     return out
 
 
@@ -148,7 +151,8 @@ def _sketch(batches, idf, test):
 
 
 def _add(parts: DataFrame) -> tuple[int, np.ndarray]:
-    """Sum blocks of numbers on the executors; the driver gets one copy."""
+    """Sum blocks of numbers on the executors; the driver gets one copy. Of each block there are
+    at most PARTS parts, whatever the input."""
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"block": pdf["block"].iloc[:1], "n": [pdf["n"].sum()], "part": [sum(np.frombuffer(p) for p in pdf["part"]).tobytes()]})
@@ -245,6 +249,10 @@ class Searcher:
             pad = max(self._pad(len(c), size) for c in own)
             self.groups.append((size, group, (least * (1 - 1e-9) - 1e-9, min(most), pad), self._unit(np.stack([self.latent[c].sum(0) for c in own]))))
         self.runs = Runs(items.codes, RUN_WORDS)
+        self.sizes = np.array([len(c) for c in items.codes], np.int64)
+        self.table = np.zeros((len(items.codes), self.sizes.max(initial=1)), np.int32)
+        for i, c in enumerate(items.codes):
+            self.table[i, : len(c)] = c
 
     @staticmethod
     def _pad(length: int, size: int) -> int:
@@ -261,6 +269,9 @@ class Searcher:
         begin = np.cumsum(sizes) - sizes
         flat = np.concatenate(codes)
         mass = np.concatenate([[0.0], np.cumsum(self.weight[flat])])
+        sums = np.zeros((self.latent.shape[1], len(flat) + 1))  # of the vectors of the words before each place
+        for k, direction in enumerate(np.ascontiguousarray(self.latent.T)):
+            np.cumsum(direction[flat], dtype=np.float64, out=sums[k, 1:])
         known = np.concatenate([[0], np.cumsum(flat > 0)])
         end = begin + sizes
         place, item, offset = self.runs.find(flat, known, np.repeat(end, sizes))
@@ -271,7 +282,7 @@ class Searcher:
             words = self.items.codes[i]
             start, stop = max(at, int(begin[t])), min(at + len(words), int(end[t]))
             cos = self._unit(self.latent[flat[start:stop]].sum(0)[None]) @ self._unit(self.latent[words].sum(0)[None]).T
-            yield np.array([t]), np.array([i]), np.array([start - begin[t]]), np.array([stop - start]), cos[0]
+            yield np.array([t]), np.array([i]), np.array([start - begin[t]]), np.array([stop - start]), cos[0]  # as few as there are runs
         for size, group, (least, fewest, pad), targets in self.groups:
             step = max(1, size // STEPS)
             number = np.where(sizes > 0, np.maximum(0, -(-(sizes - size) // step)) + 1, 0)
@@ -282,14 +293,39 @@ class Searcher:
             low, high = np.maximum(start - pad, begin[text]), np.minimum(start + size + pad, end[text])
             enough = (known[high] - known[low] >= fewest) & (mass[high] - mass[low] >= least)
             text, start, stop = text[enough], start[enough], stop[enough]
-            for at in range(0, len(text), 4096):
-                a, b = start[at : at + 4096], stop[at : at + 4096]
-                lengths = b - a
-                words = np.repeat(a - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-                z = np.add.reduceat(self.latent[flat[words]], np.cumsum(lengths) - lengths, axis=0)
-                cos = self._unit(z) @ targets.T
+            rows = max(64, _CELLS // max(len(group), self.latent.shape[1]))
+            for at in range(0, len(text), rows):
+                a, b = start[at : at + rows], stop[at : at + rows]
+                cos = self._unit((sums.take(b, axis=1, mode="clip") - sums.take(a, axis=1, mode="clip")).T).astype(np.float32) @ targets.T
                 w, g = np.nonzero(cos >= COSINE)
-                yield text[at + w], group[g], a[w] - begin[text[at + w]], lengths[w], cos[w, g]
+                item, t = group[g], text[at + w]
+                # the region that step 4 will look at
+                pad = np.maximum(self.sizes[item], b[w] - a[w]) - (b[w] - a[w]) - (-(b[w] - a[w]) // STEPS)
+                enough = self._present(flat, np.maximum(a[w] - pad, begin[t]), np.minimum(b[w] + pad, end[t]), item)
+                w, g, item, t = w[enough], g[enough], item[enough], t[enough]
+                yield t, item, a[w] - begin[t], (b - a)[w], cos[w, g]
+
+    def _present(self, flat: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """For each region (low, high) of ``flat`` and item: are COVER of the item's words in it at all? Less
+        can be no common subsequence of that length, and long runs have their own search."""
+        out = np.zeros(len(item), bool)
+        regions, which = np.unique(np.stack([low, high]), axis=1, return_inverse=True)
+        which = which.reshape(-1)
+        order = np.argsort(which, kind="stable")
+        rows = max(1, _CELLS // (self.items.terms + 1))
+        for at in range(0, regions.shape[1], rows):
+            a, b = regions[0, at : at + rows], regions[1, at : at + rows]
+            lengths = b - a
+            words = np.repeat(a - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+            there = np.zeros((len(a), self.items.terms + 1), bool)
+            there[np.repeat(np.arange(len(a)), lengths), flat[words]] = True
+            there[:, 0] = False  # of words outside the benchmark, and the filling of shorter items
+            mine = order[np.searchsorted(which[order], at) : np.searchsorted(which[order], at + len(a))]
+            for k in range(0, len(mine), 4096):
+                part = mine[k : k + 4096]
+                held = there[(which[part] - at)[:, None], self.table[item[part]]].sum(1)
+                out[part] = held >= np.ceil(COVER * self.sizes[item[part]])
+        return out
 
     def exact(self, codes: list[np.ndarray]) -> list[tuple]:
         """The first place of each short item in each text, as rows of ``search``."""
@@ -352,11 +388,15 @@ def _read_codes(batches):
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, item_id, start_word, stop_word, cosine, cover, answer): one row for
     each text and item that it holds."""
-    spark = docs.sparkSession
+    return _find(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")), "long", benchmark, item_col, item_text_col, scratch)
+
+
+def _find(rows: DataFrame, kind: str, benchmark: DataFrame, item_col: str, item_text_col: str, scratch: Scratch | None) -> DataFrame:
+    """``rows``: (doc_id of type ``kind``, text)."""
+    spark = rows.sparkSession
     ship(spark)
     scratch = scratch or Scratch(spark)
-    schema = "doc_id long, item_id long, start_word long, stop_word long, cosine double, cover double, answer double"
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    schema = f"doc_id {kind}, item_id long, start_word long, stop_word long, cosine double, cover double, answer double"
     asked = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("i"), F.col(f"`{item_text_col}`").cast("string").alias("t")).where("t is not null").dropDuplicates(["i", "t"]).orderBy("i", "t")
     out, block = spark.createDataFrame([], schema), []
 
@@ -377,15 +417,16 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
 def _search_block(spark, scratch: Scratch, rows: DataFrame, items: Items, schema: str) -> DataFrame:
     shared = spark.sparkContext.broadcast(items)  # at most BLOCK_ITEMS items
-    codes = scratch.write(rows.mapInArrow(lambda batches: _encode(batches, shared.value), "doc_id long, width int, codes binary"), "codes")
+    codes = scratch.write(rows.mapInArrow(lambda batches: _encode(batches, shared.value), f"{schema.split(',')[0]}, width int, codes binary"), "codes")
     terms, parts = items.terms, "block int, n long, part binary"
-    n, df = _add(codes.mapInArrow(lambda batches: _frequency(batches, terms), parts))
+    some = codes.coalesce(PARTS)  # fewer than that stay as they are
+    n, df = _add(some.mapInArrow(lambda batches: _frequency(batches, terms), parts))
     own, term, count, number = passages(items.codes)
     df = (df if len(df) else np.zeros(terms)) + np.bincount(term, minlength=terms)
     idf = np.log((1 + n + number) / (1 + df))
     test = np.random.default_rng(7).standard_normal((terms, RANK + OVERSAMPLE)).astype(np.float32)
     weights = spark.sparkContext.broadcast((idf, test))
-    _, total = _add(codes.mapInArrow(lambda batches: _sketch(batches, *weights.value), parts))
+    _, total = _add(some.mapInArrow(lambda batches: _sketch(batches, *weights.value), parts))
     total = total.reshape(terms, -1) if len(total) else np.zeros((terms, RANK + OVERSAMPLE))
     total = total / max(n, 1) + sketch(items.codes, idf, test) / max(number, 1)
     vectors, values = factor(total, test)
@@ -396,15 +437,16 @@ def _search_block(spark, scratch: Scratch, rows: DataFrame, items: Items, schema
         searcher = latent.value
         for texts, ids in _read_codes(batches):
             found = searcher.search(texts) + searcher.exact(texts)
-            ids = ids.to_pylist()
             columns = list(zip(*found, strict=True)) if found else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array([ids[t] for t in columns[0]], pa.int64()), *(pa.array(list(c), pa.int64()) for c in columns[1:4]), *(pa.array(list(c), pa.float64()) for c in columns[4:])], [f.split()[0] for f in schema.split(", ")])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(columns[0], pa.int64())), *(pa.array(list(c), pa.int64()) for c in columns[1:4]), *(pa.array(list(c), pa.float64()) for c in columns[4:])], [f.split()[0] for f in schema.split(", ")])
 
     return codes.mapInArrow(run, schema)
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", scratch: Scratch | None = None, **options) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item."""
+def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """The rows of ``docs`` whose text holds no benchmark item, told by the digest of the text."""
     scratch = scratch or Scratch(docs.sparkSession)
-    found = scratch.write(find(docs, benchmark, id_col, scratch=scratch, **options), "leaks").select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(found, docs[id_col] == found["__leak"], "left_anti")
+    text = F.col(f"`{text_col}`").cast("string")
+    found = _find(docs.select(F.sha2(text, 256).alias("doc_id"), text.alias("text")), "string", benchmark, item_col, item_text_col, scratch)
+    leaks = scratch.write(found, "leaks").select(F.col("doc_id").alias("__leak")).distinct()
+    return docs.join(leaks, F.sha2(text, 256) == F.col("__leak"), "left_anti")
