@@ -124,19 +124,15 @@ def prefix_pairs(scratch: Scratch, texts: DataFrame, labels: DataFrame, width: i
     mine = grams.join(shared, "g").withColumn("r", F.row_number().over(order)).withColumn("m", F.count("*").over(Window.partitionBy("id", "n")))
     # passed: shingles of the text before this one, those that no other text has being the rarest
     mine = mine.withColumn("passed", F.col("n") - F.col("m") + F.col("r") - 1).where((F.col("n") - F.col("passed")) * high >= F.col("n") * low)
-    left = (F.col("n") - F.col("passed")).alias("left")
-    mine = scratch.write(mine.join(labels, "id").select("g", "id", "component", "n", left), "prefix")
-    # (size, what is left of it) says whether two texts can meet at a shingle, so classes of texts are held against
-    # each other first; a shingle of many texts that cannot meet there brings no two of them together
-    classes = mine.groupBy("g", "n", "left").agg(F.count("*").alias("texts"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    u, v = (classes.toDF("g", *(f"{c}_{k}" for c in ("n", "left", "texts", "lo", "hi"))) for k in "uv")
-    reach = F.least("left_u", "left_v") * (low + high) >= (F.col("n_u") + F.col("n_v")) * low
-    in_order = (F.col("n_u") < F.col("n_v")) | ((F.col("n_u") == F.col("n_v")) & (F.col("left_u") <= F.col("left_v")))
-    apart = F.least("lo_u", "lo_v") < F.greatest("hi_u", "hi_v")  # not all in one component
-    meeting = u.join(v, "g").where(in_order & reach & apart).select("g", "n_u", "left_u", "n_v", "left_v")
-    x, y = mine.toDF("g", "a", "ca", "n_u", "left_u"), mine.toDF("g", "b", "cb", "n_v", "left_v")
-    met = x.join(meeting, ["g", "n_u", "left_u"]).join(y, ["g", "n_v", "left_v"]).where("ca <> cb")
-    return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    # texts a and b can meet at a shingle if n_b * low <= room_a and n_a * low <= room_b
+    room = ((F.col("n") - F.col("passed")) * (low + high) - F.col("n") * low).alias("room")
+    mine = scratch.write(mine.join(labels, "id").select("g", "id", "component", "n", room), "prefix")
+    # a shingle of many texts none of which has room for another brings no two of them together
+    bounds = mine.groupBy("g").agg(F.min("n").alias("least"), F.max("room").alias("most"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    mine = scratch.write(mine.join(bounds, "g").where((F.col("least") * low <= F.col("room")) & (F.col("n") * low <= F.col("most"))).select(*mine.columns), "prefix")
+    x, y = mine.toDF("g", "a", "ca", "na", "ra"), mine.toDF("g", "b", "cb", "nb", "rb")
+    both = (F.col("nb") * low <= F.col("ra")) & (F.col("na") * low <= F.col("rb"))
+    return x.join(y, (x["g"] == y["g"]) & (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & both).select("a", "b").distinct()
 
 
 def min_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
