@@ -21,7 +21,7 @@ from grantlake.functions.columns import TUPLE
 from grantlake.operators import closure as C
 from grantlake.operators import members as M
 from grantlake.operators import rewrite as R
-from grantlake.plans.compile import Compiled, compile_schema, dependencies
+from grantlake.plans.compile import Compiled, compile_schema, dependencies, stored_restrictions
 from grantlake.plans.schema import BARE, STAR, Computed, Direct, Exclusion, Inherited, Intersection, Key, Schema, leaves, parse
 from grantlake.sources.storage import cut
 
@@ -141,30 +141,30 @@ class Engine:
         t, r = key
         if isinstance(leaf, Computed):
             return self.of((t, leaf.relation)).withColumn("source", F.lit(""))
+        # what the schema lets the leaf read: shapes through which members flow, and those that may be starred
         if isinstance(leaf, Direct):
-            allowed = self.spark.createDataFrame([(x.type, x.predicate, x.star) for x in leaf.restrictions], "a string, b string, c boolean")
-            on = (F.col("subject_type") == F.col("a")) & (F.col("subject_predicate") == F.col("b")) & ((F.col("subject_name") == STAR) == F.col("c"))
-            stored = self.stored.where((F.col("object_type") == t) & (F.col("relation") == r)).join(F.broadcast(allowed), on, "left_semi")
-            granted, shapes = stored.withColumn("via", F.col("subject_predicate")), {(x.type, x.predicate) for x in leaf.restrictions if x.predicate != BARE}
+            admits = [(F.col("subject_type") == x.type) & (F.col("subject_predicate") == x.predicate) & ((F.col("subject_name") == STAR) == F.lit(x.star)) for x in leaf.restrictions]
+            granted = self.stored.where((F.col("object_type") == t) & (F.col("relation") == r) & reduce(lambda a, b: a | b, admits)).withColumn("via", F.col("subject_predicate"))
+            shapes = {(x.type, x.predicate): x.star for x in sorted(leaf.restrictions) if x.predicate != BARE}
         else:
-            stored = self.stored.where((F.col("object_type") == t) & (F.col("relation") == leaf.tupleset) & (F.col("subject_predicate") == BARE))
-            granted = stored.withColumn("via", F.lit(leaf.target))
-            shapes = {(k[0], leaf.target) for k in self.compiled.schema.relations if k[1] == leaf.target}
+            granted = self.stored.where((F.col("object_type") == t) & (F.col("relation") == leaf.tupleset) & (F.col("subject_predicate") == BARE)).withColumn("via", F.lit(leaf.target))
+            shapes = {(x.type, leaf.target): x.star for x in stored_restrictions(self.compiled.schema, (t, leaf.tupleset)) if x.predicate == BARE}
         granted = granted.select(F.col("object_name").alias("o_name"), F.col("subject_type").alias("p_type"), F.col("subject_name").alias("p_name"), "via")
         kind = F.when(F.col("p_name") == STAR, "star").otherwise("pos")
         rows = granted.select("o_name", F.lit("").alias("source"), kind.alias("kind"), F.col("via").alias("s_pred"), F.col("p_type").alias("s_type"), F.col("p_name").alias("s_name"))
         rows = self._asked(rows)  # what flows below is of asked subjects already
         flowing = granted.where(F.col("via") != BARE)
-        live = R.instances(self.stored).toDF("i_type", "i_name")
-        for shape in sorted(shapes):
+        for shape, starred in sorted(shapes.items()):
             if shape not in self.compiled.schema.relations:
                 continue
             of_shape = flowing.where((F.col("p_type") == shape[0]) & (F.col("via") == shape[1]))
             one = of_shape.where(F.col("p_name") != STAR).select("o_name", F.col("p_name").alias("source"))
-            each = of_shape.where(F.col("p_name") == STAR).join(live.where(F.col("i_type") == shape[0]), F.col("p_type") == F.col("i_type")).select("o_name", F.col("i_name").alias("source"))
+            if starred:
+                live = R.instances(self.stored).toDF("i_type", "i_name").where(F.col("i_type") == shape[0])
+                one = one.union(of_shape.where(F.col("p_name") == STAR).join(live, F.col("p_type") == F.col("i_type")).select("o_name", F.col("i_name").alias("source")))
             inner = self.of(shape).select(F.col("o_name").alias("source"), "kind", *M.SUBJECT)
             # a source is told apart by its type and name, and is the same by whichever grant it comes
-            found = one.union(each).distinct().join(inner, "source").withColumn("source", F.concat(F.lit(f"{shape[0]}#{shape[1]}@"), "source"))
+            found = one.distinct().join(inner, "source").withColumn("source", F.concat(F.lit(f"{shape[0]}#{shape[1]}@"), "source"))
             rows = rows.unionByName(found)
         return rows
 
