@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantlake.llm import chat, decontaminate, language, licenses, mixing, neardup, quality, secrets, tokenids, warc
+from grantlake.llm import chat, decontaminate, divergence, language, licenses, mixing, neardup, negatives, quality, secrets, tokenids, topk, warc
 from grantlake.llm._shared import Scratch
 from grantlake.llm.sql import SQL
 
@@ -73,4 +73,18 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.token_table(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_minhash": op2_minhash, "op3_decontaminate": op3_decontaminate, "op4_language": op4_language, "op5_warc": op5_warc, "op6_quality": op6_quality, "op7_chat": op7_chat, "op8_licenses": op8_licenses, "op9_secrets": op9_secrets, "op10_tokens": op10_tokens}
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", label), F.col("id") % 100 == 0)
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 50 == 0)
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op2_minhash": op2_minhash, "op3_decontaminate": op3_decontaminate, "op4_language": op4_language, "op5_warc": op5_warc, "op6_quality": op6_quality, "op7_chat": op7_chat, "op8_licenses": op8_licenses, "op9_secrets": op9_secrets, "op10_tokens": op10_tokens, "op11_negatives": op11_negatives, "op12_divergence": op12_divergence, "op13_topk": op13_topk}
