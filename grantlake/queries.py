@@ -45,9 +45,9 @@ MEMBERS = _tuple("...", "user", "concat('u', user_id)", "member", "group", "even
 VIEWERS = _tuple("member", "group", "g", "viewer", "region", "concat('r', k)") + " FROM (VALUES ('view', 0), ('click', 1), ('purchase', 2), ('signup', 3), ('error', 4)) AS v(g, k)"
 PLACED = _tuple("...", "folder", "source", "parent", "doc", "concat('d', doc_id)") + " FROM documents"
 FOLDERS = _tuple("member", "group", "g", "viewer", "folder", "k") + " FROM (VALUES ('view', 'src0'), ('click', 'src1'), ('purchase', 'src2')) AS v(g, k)"
-PUBLIC = _tuple("...", "user", "'*'", "public", "doc", "concat('d', doc_id)") + " FROM labels WHERE quality = 1"
-BLOCKED = _tuple("member", "group", "'error'", "blocked", "doc", "concat('d', doc_id)") + " FROM labels WHERE toxic = 1"
-EDITORS = _tuple("...", "user", "concat('u', doc_id % 150)", "editor", "doc", "concat('d', doc_id)") + " FROM documents"
+LISTED = _tuple("...", "user", "'*'", "listed", "doc", "concat('d', doc_id)") + " FROM labels WHERE quality = 1"
+WITHHELD = _tuple("member", "group", "'error'", "withheld", "doc", "concat('d', doc_id)") + " FROM labels WHERE toxic = 1"
+AUTHORS = _tuple("...", "user", "concat('u', doc_id % 150)", "author", "doc", "concat('d', doc_id)") + " FROM documents"
 TOPICS = _tuple("...", "doc", "concat('d', conv_id)", "topic", "conv", "concat('v', conv_id)") + " FROM (SELECT DISTINCT conv_id FROM conversations) AS c"
 READERS = _tuple("viewer", "doc", "concat('d', page_id)", "reader", "page", "concat('p', page_id)") + " FROM pages"
 #: Tuples as they might come in: names with a character that is not allowed, an undeclared relation.
@@ -58,7 +58,7 @@ RAW = " UNION ALL ".join(
 LOG = "SELECT event_id AS log_id, 'main' AS store_id, CASE WHEN event_type IN ('error', 'click') THEN 'REMOVE' ELSE 'ADD' END AS op, " + _T.format(sp="...", st="user", s="concat('u', user_id)", r="member", ot="group", o="concat('g', user_id % 7)") + ", CAST(0 AS DOUBLE) AS created_at FROM events"
 ORG = " UNION ALL ".join([*PARENTS.values(), OWNERS])
 ACCESS = " UNION ALL ".join([PARENTS["region_nation"], PARENTS["nation_customer"], MEMBERS, VIEWERS])
-DOCS = " UNION ALL ".join([MEMBERS, PUBLIC, BLOCKED, EDITORS, PLACED, FOLDERS, TOPICS, READERS])
+DOCS = " UNION ALL ".join([MEMBERS, LISTED, WITHHELD, AUTHORS, PLACED, FOLDERS, TOPICS, READERS])
 EDGES = " UNION ALL ".join(f"SELECT concat(subject_type, '|', subject_name) AS src, concat(object_type, '|', object_name) AS dst FROM ({p}) AS t" for p in PARENTS.values())
 
 _TOXIC = "(SELECT DISTINCT doc_id AS d FROM labels WHERE toxic = 1)"
@@ -117,17 +117,17 @@ type folder
 type doc
   relations
     define parent: [folder]
-    define public: [user:*]
-    define blocked: [group#member]
-    define editor: [user]
-    define viewer: (public but not blocked) or editor
-    define restricted: editor and public
+    define author: [user]
+    define withheld: [group#member]
+    define listed: [user:*]
+    define pinned: listed and (author or withheld)
     define shelved: viewer from parent
+    define viewer: (listed or author) but not (withheld but not author)
 type conv
   relations
     define topic: [doc]
     define viewer: viewer from topic
-    define silent: [user] but not (restricted from topic)
+    define silent: [user] but not (pinned from topic)
 type page
   relations
     define reader: [doc#viewer]
@@ -306,7 +306,7 @@ def wildcard_check(spark, sf_dir):
 
 
 def check_batch(spark, sf_dir):
-    """Does each document's editor, and does a ghost, view it?"""
+    """Does each document's author, and does a ghost, view it?"""
     asked = load(spark, sf_dir, _tuple("...", "user", "concat('u', doc_id % 150)", "viewer", "doc", "concat('d', doc_id)") + " FROM documents UNION ALL " + _tuple("...", "user", "concat('u', doc_id % 149)", "viewer", "doc", "concat('d', doc_id)") + " FROM documents")
     return _docs(spark, sf_dir).check(asked.distinct())
 
@@ -331,7 +331,7 @@ def lookup(spark, sf_dir):
 
 
 def lookup_markers(spark, sf_dir):
-    """The same with public documents as one row each, and each user's exceptions."""
+    """The same with listed documents as one row each, and each user's exceptions."""
     users = load(spark, sf_dir, "SELECT DISTINCT '...' AS s_pred, 'user' AS s_type, concat('u', user_id) AS s_name FROM events WHERE event_type = 'error'")
     return _docs(spark, sf_dir).lookup_markers(users, [("doc", "viewer")])
 
@@ -363,14 +363,14 @@ def _derived(key):
 
 
 boolean_exclusion = _derived(("doc", "viewer"))
-boolean_intersection = _derived(("doc", "restricted"))
+boolean_intersection = _derived(("doc", "pinned"))
 derived_ttu = _derived(("conv", "viewer"))
 derived_userset = _derived(("page", "reader"))
 
 
 def stratified_cascade(spark, sf_dir):
     """Member rows of every relation that depends on a boolean, by kind."""
-    rows = _docs(spark, sf_dir).focus([("doc", "viewer"), ("doc", "restricted"), ("conv", "viewer"), ("page", "reader")]).model().where("(o_type = 'doc' and o_pred in ('viewer', 'restricted')) or (o_type = 'conv' and o_pred = 'viewer') or (o_type = 'page' and o_pred = 'reader')")
+    rows = _docs(spark, sf_dir).focus([("doc", "viewer"), ("doc", "pinned"), ("conv", "viewer"), ("page", "reader")]).model().where("(o_type = 'doc' and o_pred in ('viewer', 'pinned')) or (o_type = 'conv' and o_pred = 'viewer') or (o_type = 'page' and o_pred = 'reader')")
     return rows.groupBy("o_type", "o_pred", "kind").agg(F.count("*").alias("n"))
 
 
@@ -395,9 +395,9 @@ def set_subtract(spark, sf_dir):
 
 
 def star_normalize(spark, sf_dir):
-    """The union of stars and editors in canonical form."""
-    engine = _docs(spark, sf_dir).focus([("doc", "public"), ("doc", "editor")])
-    return M.normalize(engine.of(("doc", "public")).union(engine.of(("doc", "editor"))), ["o_name"])
+    """The union of stars and authors in canonical form."""
+    engine = _docs(spark, sf_dir).focus([("doc", "listed"), ("doc", "author")])
+    return M.normalize(engine.of(("doc", "listed")).union(engine.of(("doc", "author"))), ["o_name"])
 
 
 def materialize(spark, sf_dir):
@@ -440,31 +440,31 @@ def outbox_prune(spark, sf_dir):
 
 
 def affected_keys(spark, sf_dir):
-    """The sets that may change when all blocks on documents go."""
+    """The sets that may change when no document is withheld any more."""
     engine = _docs(spark, sf_dir)
-    return affected(engine.compiled, engine.stored, touched(engine.compiled, load(spark, sf_dir, BLOCKED)))
+    return affected(engine.compiled, engine.stored, touched(engine.compiled, load(spark, sf_dir, WITHHELD)))
 
 
 def invariants(spark, sf_dir):
     """Violations of each kind in sound state (none) and in state with planted damage: a closure without its
     pairs into suppliers and with every supplier above its nation, member sets with
-    editors put in again under stars and exceptions without them, deltas that lack the supplier rows."""
+    authors put in again under stars and exceptions without them, deltas that lack the supplier rows."""
     edges = _edges(spark, sf_dir)
     reached, engine = C.reach(edges), _docs(spark, sf_dir).focus([("doc", "viewer")])
     engine.derive()
     model = engine.of(("doc", "viewer")).select(F.lit("viewer").alias("o_pred"), F.lit("doc").alias("o_type"), "o_name", "kind", *M.SUBJECT)
     kept = reached.where("dst like 'nation|%'")
     deltas = C.flips(reached, kept)
-    editor = load(spark, sf_dir, EDITORS).select(F.lit("viewer").alias("o_pred"), F.lit("doc").alias("o_type"), F.col("object_name").alias("o_name"), F.lit("pos").alias("kind"), F.lit("...").alias("s_pred"), F.lit("user").alias("s_type"), F.col("subject_name").alias("s_name"))
+    author = load(spark, sf_dir, AUTHORS).select(F.lit("viewer").alias("o_pred"), F.lit("doc").alias("o_type"), F.col("object_name").alias("o_name"), F.lit("pos").alias("kind"), F.lit("...").alias("s_pred"), F.lit("user").alias("s_type"), F.col("subject_name").alias("s_name"))
     upward = edges.where("dst like 'supplier|%'").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    starless = editor.withColumn("kind", F.lit("neg")).withColumn("o_pred", F.lit("starless"))
+    starless = author.withColumn("kind", F.lit("neg")).withColumn("o_pred", F.lit("starless"))
     kinds = {
         "missing": I.missing_steps(reached, edges),
         "missing_damaged": I.missing_steps(reached.where("dst not like 'supplier|%'"), edges),
         "unsupported": I.unsupported_pairs(reached, edges),
         "unsupported_damaged": I.unsupported_pairs(reached.union(upward), edges),
         "form": I.uncanonical(model),
-        "form_damaged": I.uncanonical(model.unionByName(editor).unionByName(starless)),
+        "form_damaged": I.uncanonical(model.unionByName(author).unionByName(starless)),
         "deltas": I.wrong_deltas(deltas, reached, kept),
         "deltas_damaged": I.wrong_deltas(deltas.where("dst not like 'supplier|%'"), reached, kept),
     }

@@ -19,23 +19,23 @@ _ORG_EDGES = f"""SELECT subject_predicate AS src_pred, subject_type AS src_type,
 FROM (SELECT *, unnest(CASE WHEN relation = 'owner' THEN ['owner', 'reader', 'held'] ELSE [relation] END) AS d FROM ({{tuples}}) AS t) AS u"""
 _ADMITTED = f"SELECT DISTINCT * FROM ({Q.RAW}) AS t WHERE {_ID} AND ((relation = 'owner' AND object_type IN ('order', 'customer')) OR (relation = 'parent' AND object_type = 'nation'))"
 
-_DOCS = """public AS (SELECT DISTINCT concat('d', doc_id) AS o_name FROM labels WHERE quality = 1),
-blocked AS (SELECT DISTINCT concat('d', doc_id) AS o_name FROM labels WHERE toxic = 1),
+_DOCS = """listed AS (SELECT DISTINCT concat('d', doc_id) AS o_name FROM labels WHERE quality = 1),
+withheld AS (SELECT DISTINCT concat('d', doc_id) AS o_name FROM labels WHERE toxic = 1),
 errors AS (SELECT DISTINCT concat('u', user_id) AS u FROM events WHERE event_type = 'error'),
-editors AS (SELECT DISTINCT concat('d', doc_id) AS o_name, concat('u', doc_id % 150) AS u FROM documents),
+authors AS (SELECT DISTINCT concat('d', doc_id) AS o_name, concat('u', doc_id % 150) AS u FROM documents),
 viewer AS (
-  SELECT o_name, 'star' AS kind, '*' AS s_name FROM public
-  UNION ALL SELECT o_name, 'pos', u FROM editors WHERE o_name NOT IN (SELECT o_name FROM public)
-  UNION ALL SELECT o_name, 'neg', u FROM (SELECT o_name, u FROM public JOIN blocked USING (o_name), errors EXCEPT SELECT o_name, u FROM editors) AS x
+  SELECT o_name, 'star' AS kind, '*' AS s_name FROM listed
+  UNION ALL SELECT o_name, 'pos', u FROM authors WHERE o_name NOT IN (SELECT o_name FROM listed)
+  UNION ALL SELECT o_name, 'neg', u FROM (SELECT o_name, u FROM listed JOIN withheld USING (o_name), errors EXCEPT SELECT o_name, u FROM authors) AS x
 ),
-restricted AS (SELECT o_name, 'pos' AS kind, u AS s_name FROM editors JOIN public USING (o_name)),
+pinned AS (SELECT o_name, 'pos' AS kind, u AS s_name FROM (SELECT o_name, u FROM authors UNION SELECT o_name, u FROM withheld, errors) AS x JOIN listed USING (o_name)),
 conv AS (SELECT DISTINCT concat('v', conv_id) AS v, concat('d', conv_id) AS d FROM conversations),
 page AS (SELECT DISTINCT concat('p', page_id) AS v, concat('d', page_id) AS d FROM pages),
 conv_viewer AS (SELECT v AS o_name, kind, '...' AS s_pred, 'user' AS s_type, s_name FROM conv JOIN viewer ON o_name = d UNION ALL SELECT v, 'pos', 'viewer', 'doc', d FROM conv),
 page_reader AS (SELECT v AS o_name, kind, '...' AS s_pred, 'user' AS s_type, s_name FROM page JOIN viewer ON o_name = d UNION ALL SELECT v, 'pos', 'viewer', 'doc', d FROM page)"""
 _ROWS = "o_name, kind, '...' AS s_pred, 'user' AS s_type, s_name"
-_ALLOWED = """SELECT q.*, (EXISTS (SELECT 1 FROM editors AS e WHERE e.o_name = object_name AND e.u = subject_name))
-  OR (object_name IN (SELECT o_name FROM public) AND NOT (object_name IN (SELECT o_name FROM blocked) AND subject_name IN (SELECT u FROM errors))) AS allowed FROM q"""
+_ALLOWED = """SELECT q.*, (EXISTS (SELECT 1 FROM authors AS e WHERE e.o_name = object_name AND e.u = subject_name))
+  OR (object_name IN (SELECT o_name FROM listed) AND NOT (object_name IN (SELECT o_name FROM withheld) AND subject_name IN (SELECT u FROM errors))) AS allowed FROM q"""
 
 
 def _ask(*statements: str) -> str:
@@ -93,32 +93,32 @@ SQL = {
     "check_batch": _ask(_viewer_of("concat('u', doc_id % 150)"), _viewer_of("concat('u', doc_id % 149)")),
     "ghost_check": _ask(_viewer_of("'ghost'"), _viewer_of("'*'")),
     "expand": f"WITH {_DOCS} SELECT 'viewer' AS o_pred, 'doc' AS o_type, {_ROWS} FROM viewer",
-    "lookup": f"WITH {_DOCS} SELECT DISTINCT '...' AS s_pred, 'user' AS s_type, u AS s_name, 'viewer' AS o_pred, 'doc' AS o_type, o_name, false AS marker FROM (SELECT u, o_name FROM errors, public WHERE o_name NOT IN (SELECT o_name FROM blocked) UNION ALL SELECT u, o_name FROM editors JOIN errors USING (u)) AS x",
+    "lookup": f"WITH {_DOCS} SELECT DISTINCT '...' AS s_pred, 'user' AS s_type, u AS s_name, 'viewer' AS o_pred, 'doc' AS o_type, o_name, false AS marker FROM (SELECT u, o_name FROM errors, listed WHERE o_name NOT IN (SELECT o_name FROM withheld) UNION ALL SELECT u, o_name FROM authors JOIN errors USING (u)) AS x",
     "lookup_markers": f"WITH {_DOCS} SELECT kind, '...' AS s_pred, 'user' AS s_type, s_name, 'viewer' AS o_pred, 'doc' AS o_type, o_name FROM viewer WHERE kind = 'star' OR s_name IN (SELECT u FROM errors)",
     "one_subject": f"WITH {_DOCS} SELECT {_ROWS} FROM viewer WHERE kind = 'star' OR s_name IN ('u1', 'u2')",
     "lookup_reverse": f"WITH n AS (SELECT concat('n', n_nationkey) AS o_name, concat('r', n_regionkey) AS r FROM nation), v AS ({Q.VIEWERS}), g AS (SELECT o_name, r, subject_name AS g FROM n JOIN v ON r = object_name), m AS ({Q.MEMBERS}) SELECT DISTINCT 'viewer' AS o_pred, 'nation' AS o_type, o_name, 'pos' AS kind, s_pred, s_type, s_name FROM (SELECT o_name, 'viewer' AS s_pred, 'region' AS s_type, r AS s_name FROM n UNION ALL SELECT o_name, 'member', 'group', g FROM g UNION ALL SELECT o_name, '...', 'user', subject_name FROM g JOIN m ON g = object_name) AS x",
     "inherited_access": f"WITH v AS ({Q.VIEWERS}), m AS ({Q.MEMBERS}) SELECT concat('c', c_custkey) AS o_name, count(DISTINCT m.subject_name) AS n_viewers FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN v ON concat('r', n_regionkey) = v.object_name JOIN m ON m.object_name = v.subject_name GROUP BY c_custkey",
     "boolean_exclusion": f"WITH {_DOCS} SELECT {_ROWS} FROM viewer",
-    "boolean_intersection": f"WITH {_DOCS} SELECT {_ROWS} FROM restricted",
+    "boolean_intersection": f"WITH {_DOCS} SELECT {_ROWS} FROM pinned",
     "derived_ttu": f"WITH {_DOCS} SELECT * FROM conv_viewer",
     "derived_userset": f"WITH {_DOCS} SELECT * FROM page_reader",
-    "stratified_cascade": f"WITH {_DOCS} SELECT o_type, o_pred, kind, count(*) AS n FROM (SELECT 'doc' AS o_type, 'viewer' AS o_pred, kind FROM viewer UNION ALL SELECT 'doc', 'restricted', kind FROM restricted UNION ALL SELECT 'conv', 'viewer', kind FROM conv_viewer UNION ALL SELECT 'page', 'reader', kind FROM page_reader) AS x GROUP BY ALL",
+    "stratified_cascade": f"WITH {_DOCS} SELECT o_type, o_pred, kind, count(*) AS n FROM (SELECT 'doc' AS o_type, 'viewer' AS o_pred, kind FROM viewer UNION ALL SELECT 'doc', 'pinned', kind FROM pinned UNION ALL SELECT 'conv', 'viewer', kind FROM conv_viewer UNION ALL SELECT 'page', 'reader', kind FROM page_reader) AS x GROUP BY ALL",
     "set_union": _sets("a OR b"),
     "set_intersect": _sets("a AND b"),
     "set_subtract": _sets("a AND NOT b"),
     "star_normalize": f"WITH {_DOCS} SELECT {_ROWS} FROM viewer WHERE kind <> 'neg'",
-    "materialize": f"WITH {_DOCS}, users AS (SELECT concat('u', user_id) AS u FROM events UNION SELECT u FROM editors) SELECT o_name, count(*) AS n FROM (SELECT o_name, u FROM public, users EXCEPT SELECT o_name, s_name FROM viewer WHERE kind = 'neg' UNION ALL SELECT o_name, s_name FROM viewer WHERE kind = 'pos') AS x GROUP BY o_name",
+    "materialize": f"WITH {_DOCS}, users AS (SELECT concat('u', user_id) AS u FROM events UNION SELECT u FROM authors) SELECT o_name, count(*) AS n FROM (SELECT o_name, u FROM listed, users EXCEPT SELECT o_name, s_name FROM viewer WHERE kind = 'neg' UNION ALL SELECT o_name, s_name FROM viewer WHERE kind = 'pos') AS x GROUP BY o_name",
     "log_fold": f"SELECT subject_predicate, subject_type, subject_name, relation, object_type, object_name FROM (SELECT *, row_number() OVER (PARTITION BY subject_name, object_name ORDER BY log_id DESC) AS k FROM ({Q.LOG}) AS l) AS x WHERE k = 1 AND op = 'ADD'",
     "log_head": f"SELECT coalesce(max(log_id), 0) AS head FROM ({Q.LOG}) AS l",
     "log_tail": f"SELECT log_id, op, subject_name, object_name FROM ({Q.LOG}) AS l WHERE log_id > (SELECT max(event_id) // 2 FROM events)",
     "log_gap": f"SELECT log_id FROM ({Q.LOG}) AS l WHERE op = 'REMOVE'",
     "index_lag": "SELECT count(*) AS lag FROM events WHERE event_id > (SELECT max(event_id) // 2 FROM events)",
     "outbox_prune": f"SELECT log_id AS id, store_id, op AS action, subject_name AS src, object_name AS dst FROM ({Q.LOG}) AS l WHERE log_id >= (SELECT max(event_id) * 2 // 3 FROM events) OR log_id = (SELECT max(event_id) FROM events)",
-    "affected_keys": f"WITH {_DOCS} SELECT 'doc' AS type, r AS relation, o_name AS name FROM blocked, (VALUES ('blocked'), ('viewer')) AS v(r) UNION ALL SELECT 'conv', 'viewer', v FROM conv JOIN blocked ON o_name = d UNION ALL SELECT 'page', 'reader', v FROM page JOIN blocked ON o_name = d",
+    "affected_keys": f"WITH {_DOCS} SELECT 'doc' AS type, r AS relation, o_name AS name FROM withheld, (VALUES ('withheld'), ('viewer'), ('pinned')) AS v(r) UNION ALL SELECT 'conv', r, v FROM conv JOIN withheld ON o_name = d, (VALUES ('viewer'), ('silent')) AS w(r) UNION ALL SELECT 'page', 'reader', v FROM page JOIN withheld ON o_name = d",
     "invariants": f"""WITH {_DOCS} SELECT kind, violations FROM (VALUES ('missing', 0), ('unsupported', 0), ('form', 0), ('deltas', 0)) AS v(kind, violations)
 UNION ALL SELECT 'missing_damaged', 2 * (SELECT count(*) FROM supplier)
 UNION ALL SELECT 'unsupported_damaged', (SELECT count(*) FROM supplier)
-UNION ALL SELECT 'form_damaged', (SELECT count(*) FROM editors JOIN public USING (o_name)) + (SELECT count(*) FROM editors) + (SELECT count(*) FROM (SELECT o_name, u FROM editors EXCEPT SELECT o_name, u FROM editors JOIN public USING (o_name)) AS twice)
+UNION ALL SELECT 'form_damaged', (SELECT count(*) FROM authors JOIN listed USING (o_name)) + (SELECT count(*) FROM authors) + (SELECT count(*) FROM (SELECT o_name, u FROM authors EXCEPT SELECT o_name, u FROM authors JOIN listed USING (o_name)) AS twice)
 UNION ALL SELECT 'deltas_damaged', 2 * (SELECT count(*) FROM supplier)""",
     "direct_edges": "SELECT 'nation|n0' AS src, concat('customer|c', c_custkey) AS dst, c_nationkey = 0 AS direct FROM customer UNION ALL SELECT 'nation|n0', concat('supplier|s', s_suppkey), s_nationkey = 0 FROM supplier UNION ALL SELECT 'nation|n0', concat('order|o', o_orderkey), false FROM orders",
     "edge_fanout": f"WITH down AS (SELECT src AS dst, count(*) AS d FROM ({_reach(where="WHERE src LIKE 'nation|%'")}) AS r GROUP BY src) SELECT concat('region|r', n_regionkey) AS src, concat('nation|n', n_nationkey) AS dst, coalesce(d, 0) + 1 AS touched FROM nation LEFT JOIN down ON dst = concat('nation|n', n_nationkey)",

@@ -43,16 +43,16 @@ def test_checks_agree_with_pointwise_ones(spark, name, seed):
 
 def test_asked_subjects_alone(spark):
     """Lookups and one-relation evaluations for some subjects are those of the whole model."""
-    schema = parse(schemas.PUBLIC)
+    schema = parse(schemas.FAIR)
     compiled = compile_schema(schema)
     engine = Engine(compiled, spark.createDataFrame(schemas.tuples_of(schema, compiled, 5, 40), COLUMNS))
-    subjects = [(BARE, "user", "a"), (BARE, "user", "ghost"), ("member", "group", "b")]
+    subjects = [(BARE, "visitor", "a"), (BARE, "visitor", "ghost"), ("cast", "troupe", "b")]
     asked = spark.createDataFrame(subjects, "s_pred string, s_type string, s_name string")
     model = engine.model().cache()
     rows = lambda df: sorted(tuple(r) for r in df.collect())
     assert rows(engine.lookup(asked)) == rows(lookup(model, asked)) != []
-    key = ("doc", "viewer")
-    assert rows(engine.lookup_markers(asked, [key])) == rows(lookup_markers(model.where("o_type = 'doc' and o_pred = 'viewer'"), asked)) != []
-    mine = model.where("o_type = 'doc' and o_pred = 'viewer'").collect()
+    key = ("booth", "inside")
+    assert rows(engine.lookup_markers(asked, [key])) == rows(lookup_markers(model.where("o_type = 'booth' and o_pred = 'inside'"), asked)) != []
+    mine = model.where("o_type = 'booth' and o_pred = 'inside'").collect()
     want = [(r["o_name"], r["kind"], *r[4:7]) for r in mine if r["kind"] == "star" or tuple(r[4:7]) in subjects]
     assert rows(engine.evaluate(key, asked)) == sorted(want) != []

@@ -13,7 +13,7 @@ from tests import schemas
 COLUMNS = ", ".join(f"{c} string" for c in TUPLE)
 
 
-@pytest.mark.parametrize("name", ["yard", "lab"])
+@pytest.mark.parametrize("name", ["mine", "lab"])
 def test_only_affected_sets_change(spark, name):
     text, wild = schemas.ALL[name]
     schema = parse(text, wild)

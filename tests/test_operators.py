@@ -149,8 +149,8 @@ def test_sources_count_and_do_not_mask(spark):
 
 
 def test_admission(spark):
-    c = compile_schema(parse(schemas.YARD, {("zone", "entrant")}))
-    rows = [("...", "user", "a", "packer", "crate", "d"), ("...", "user", "*", "guest", "zone", "f"), ("...", "user", "*", "packer", "crate", "d"), ("...", "user", "a\n", "packer", "crate", "d"), ("hand", "crew", "a", "entrant", "zone", "*"), ("...", "user", "a", "packer", "crate", "*"), ("...", "user", "a", "nothing", "crate", "d"), (None, "user", "a", "packer", "crate", "d")]
+    c = compile_schema(parse(schemas.MINE, {("shaft", "enters")}))
+    rows = [("...", "person", "a", "assayer", "seam", "d"), ("...", "person", "*", "enters", "shaft", "f"), ("...", "person", "*", "assayer", "seam", "d"), ("...", "person", "a\n", "assayer", "seam", "d"), ("sworn", "guild", "a", "enters", "shaft", "*"), ("...", "person", "a", "assayer", "seam", "*"), ("...", "person", "a", "nothing", "seam", "d"), (None, "person", "a", "assayer", "seam", "d")]
     got = R.reject_reasons(spark.createDataFrame(rows, ", ".join(f"{x} string" for x in TUPLE)), c).collect()
     assert {tuple(r[:6]): r["reject_reason"] for r in got} == dict(zip(rows, [None, None, "restriction", "identifier", None, "object_wildcard", "restriction", "identifier"], strict=True))
 
