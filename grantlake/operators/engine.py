@@ -21,9 +21,9 @@ from grantlake.functions.columns import TUPLE
 from grantlake.operators import closure as C
 from grantlake.operators import members as M
 from grantlake.operators import rewrite as R
-from grantlake.plans.compile import Compiled, compile_schema, dependencies, stored_restrictions
+from grantlake.plans.compile import Compiled, compile_schema, dependencies, dependency_rows, stored_restrictions
 from grantlake.plans.schema import BARE, STAR, Computed, Direct, Exclusion, Inherited, Intersection, Key, Schema, leaves, parse
-from grantlake.sources.storage import cut
+from grantlake.sources.storage import cut, cut_or_empty
 
 OBJECT = ("o_pred", "o_type", "o_name")
 ROW = (*OBJECT, "kind", *M.SUBJECT)
@@ -35,41 +35,93 @@ def compiled_of(schema: Compiled | Schema | str) -> Compiled:
 
 
 class Engine:
-    """``tuples`` has the six tuple columns; rows that the schema does not admit take no part."""
+    """``tuples`` has the six tuple columns; rows that the schema does not admit take no part.
+    ``ready``: they are distinct and admitted, and as cheap to read as a table."""
 
-    def __init__(self, schema: Compiled | Schema | str, tuples: DataFrame):
+    def __init__(self, schema: Compiled | Schema | str, tuples: DataFrame, ready: bool = False):
         self.compiled = compiled_of(schema)
         self.spark = tuples.sparkSession
-        self.tuples = cut(R.admit(tuples, self.compiled))
+        self.tuples = tuples.select(*TUPLE) if ready else cut(R.admit(tuples, self.compiled))
         self.stored = cut(R.spread(self.tuples)) if self.compiled.object_wildcards else self.tuples
         self._reset(None, None, None)
 
-    def _reset(self, needed: frozenset[Key] | None, sources: DataFrame | None, targets: DataFrame | None) -> None:
+    def _reset(self, needed: frozenset[Key] | None, sources: DataFrame | None, targets: DataFrame | None, demand: DataFrame | None = None, given: DataFrame | None = None) -> None:
         self.needed = needed  # None: every relation
-        self._sources, self._targets = sources, targets  # (node); None: all
+        self._sources, self.targets = sources, targets  # (node); None: all
+        self.demand = demand  # OBJECT of the sets to evaluate; None: all
+        self._given = given  # ROW of the sets that are not evaluated but read
         self._closure: DataFrame | None = None
         self._plain: DataFrame | None = None
         self._derived: dict[Key, DataFrame] = {}
 
+    def _with(self, *state) -> Engine:
+        """An engine over the same tuples."""
+        out = object.__new__(Engine)
+        out.__dict__ |= self.__dict__
+        out._reset(*state)
+        return out
+
     def focus(self, keys, objects: DataFrame | None = None, subjects: DataFrame | None = None) -> Engine:
         """An engine over the same tuples that evaluates only the relations ``keys`` and
         what they read. With ``subjects`` (s_pred, s_type, s_name), only for those and the stars of their
-        shapes: a membership never depends on other subjects. With ``objects`` (o_pred, o_type, o_name), and
-        unless a boolean is among the relations, only paths that end at those objects are searched."""
+        shapes: a membership never depends on other subjects. With ``objects`` (o_pred, o_type, o_name), only
+        those objects' sets and the sets that these are made of."""
         needed, more = set(), set(keys) & self.compiled.schema.relations.keys()
         while more:
             needed |= more
             more = {d for k in more for d in dependencies(self.compiled.schema, k)} - needed
-        sources = targets = None
+        sources = targets = demand = None
         if subjects is not None:
             name = F.explode(F.array("s_name", F.lit(STAR))).alias("s_name")
             sources = subjects.select("s_pred", "s_type", name).select(F.concat_ws("|", "s_pred", "s_type", "s_name").alias("node")).distinct()
-        if objects is not None and not needed & self.compiled.tainted:
-            name = F.explode(F.array("o_name", F.lit(R.ALL))).alias("o_name")
-            targets = objects.select("o_pred", "o_type", name).select(F.concat_ws("|", "o_pred", "o_type", "o_name").alias("node"))
-        out = object.__new__(Engine)
-        out.__dict__ |= self.__dict__
-        out._reset(frozenset(needed), None if sources is None else cut(sources), targets)
+        if objects is not None:
+            demand = self.demanded(objects) if needed & self.compiled.tainted else objects.select(*OBJECT)
+            targets = self._nodes(demand, F.lit(R.ALL))
+        return self._with(frozenset(needed), None if sources is None else cut(sources), targets, demand)
+
+    def _nodes(self, objects: DataFrame, *more) -> DataFrame:
+        """(node): where paths to these objects' sets without booleans end; with ``more`` names, at those too."""
+        plain = objects.where(~F.concat_ws("#", "o_type", "o_pred").isin(["#".join(k) for k in self.compiled.tainted]))
+        named = F.when(F.col("o_name") == STAR, R.ALL).otherwise(F.col("o_name"))
+        return plain.select("o_pred", "o_type", F.explode(F.array(named, *more)).alias("o_name")).select(F.concat_ws("|", *OBJECT).alias("node")).distinct()
+
+    def demanded(self, objects: DataFrame) -> DataFrame:
+        """OBJECT of every set that has to be known for those of ``objects``: from a boolean relation down
+        to what its leaves read on the same object, or on the subjects of its stored tuples. A set without booleans ends the
+        search, as its paths are searched backwards from it. As many rounds as there are strata at most."""
+        tainted, rows = self.compiled.tainted, dependency_rows(self.compiled.schema)
+        table = F.broadcast(self.spark.createDataFrame([r for r in rows if r[5:] in tainted], "kind string, s_type string, s_relation string, via string, pred string, d_type string, d_relation string"))
+        found = [cut(objects.select(*OBJECT).distinct(), "o_type", "o_pred")]
+        for _ in self.compiled.strata:
+            met = found[-1].join(table, (F.col("o_type") == F.col("d_type")) & (F.col("o_pred") == F.col("d_relation")))
+            same = met.where("kind = 'computed'").select(F.col("s_relation").alias("o_pred"), "o_type", "o_name")
+            on = (
+                (F.col("object_type") == F.col("o_type")) & (F.col("object_name") == F.col("o_name")) & (F.col("relation") == F.col("via"))
+                & (F.col("subject_type") == F.col("s_type")) & (F.col("subject_predicate") == F.col("pred"))
+            )
+            over = met.where("kind <> 'computed'").join(self.stored, on).select(F.col("s_relation").alias("o_pred"), F.col("subject_type").alias("o_type"), F.col("subject_name").alias("o_name"))
+            if self.compiled.flowing:  # a star stands for every instance
+                live = R.instances(self.stored).toDF("o_type", "i_name")
+                stars = over.where(F.col("o_name") == STAR).distinct().join(live, "o_type").select("o_pred", "o_type", F.col("i_name").alias("o_name"))
+                over = over.where(F.col("o_name") != STAR).unionByName(stars)
+            new = cut_or_empty(same.unionByName(over).distinct().join(reduce(DataFrame.unionByName, found), list(OBJECT), "left_anti"))
+            if new is None:
+                break
+            found.append(new)
+        return reduce(DataFrame.unionByName, found)
+
+    def update(self, keys: DataFrame, given: DataFrame) -> Engine:
+        """An engine that evaluates the sets of ``keys`` (OBJECT) alone; all others are read from ``given``, the rows
+        of a model in which they are right."""
+        keys = cut(keys.select(*OBJECT).distinct(), "o_type", "o_pred")
+        known = self.compiled.schema.relations.keys()
+        needed = {(r["o_type"], r["o_pred"]) for r in keys.select("o_type", "o_pred").distinct().collect()} & known  # no more than the schema has
+        targets = self._nodes(keys)
+        flows = [f"{t}#{p}" for t, p in sorted(self.compiled.flowing & needed)]
+        if flows:  # the shape's star changes with its instances
+            targets = targets.union(keys.where(F.concat_ws("#", "o_type", "o_pred").isin(flows)).select(F.concat_ws("|", "o_pred", "o_type", F.lit(STAR)).alias("node")).distinct())
+        out = self._with(None, None, cut(targets), keys, given.select(*ROW))
+        out._evaluated = frozenset(needed)
         return out
 
     def _about(self, asked: DataFrame, type_: str, relation: str) -> list[Key]:
@@ -88,7 +140,7 @@ class Engine:
 
     def closure(self) -> DataFrame:
         if self._closure is None:
-            self._closure = C.reach(self.edges(), self._sources, self._targets)
+            self._closure = C.reach(self.edges(), self._sources, self.targets)
         return self._closure
 
     def plain(self) -> DataFrame:
@@ -102,17 +154,23 @@ class Engine:
         self._plain = cut(rows, "o_type", "o_pred")
         return self._plain
 
+    def _names(self, key: Key) -> DataFrame:
+        """(o_name): the objects of one relation whose sets are evaluated."""
+        return self.demand.where((F.col("o_type") == key[0]) & (F.col("o_pred") == key[1])).select("o_name")
+
     def of(self, key: Key) -> DataFrame:
         """Member rows (o_name, kind, subject) of one relation."""
-        if key in self._derived:
-            return self._derived[key]
-        return self.plain().where((F.col("o_type") == key[0]) & (F.col("o_pred") == key[1])).select("o_name", "kind", *M.SUBJECT)
+        only = lambda rows: rows.where((F.col("o_type") == key[0]) & (F.col("o_pred") == key[1])).select("o_name", "kind", *M.SUBJECT)
+        if self._given is not None and key not in self._evaluated:
+            return only(self._given)
+        rows = self._derived[key] if key in self._derived else only(self.plain())
+        return rows if self._given is None else rows.unionByName(only(self._given).join(self._names(key), "o_name", "left_anti"))
 
     def derive(self) -> None:
         """Evaluate the boolean relations, lower strata first; a stratum is written as one
         table, laid out by relation."""
         for stratum in self.compiled.strata:
-            keys = [k for k in stratum if k not in self._derived and (self.needed is None or k in self.needed)]
+            keys = [k for k in stratum if k not in self._derived and (self.needed is None or k in self.needed) and (self._given is None or k in self._evaluated)]
             if not keys:
                 continue
             parts = [self._evaluate(k).select(F.lit(k[1]).alias("o_pred"), F.lit(k[0]).alias("o_type"), "o_name", "kind", *M.SUBJECT) for k in keys]
@@ -139,8 +197,9 @@ class Engine:
     def _leaf(self, key: Key, leaf) -> DataFrame:
         """(o_name, source, kind, subject) of one leaf."""
         t, r = key
+        asked = (lambda rows: rows) if self.demand is None else lambda rows: rows.join(self._names(key), "o_name", "left_semi")
         if isinstance(leaf, Computed):
-            return self.of((t, leaf.relation)).withColumn("source", F.lit(""))
+            return asked(self.of((t, leaf.relation))).withColumn("source", F.lit(""))
         # what the schema lets the leaf read: shapes through which members flow, and those that may be starred
         if isinstance(leaf, Direct):
             admits = [(F.col("subject_type") == x.type) & (F.col("subject_predicate") == x.predicate) & ((F.col("subject_name") == STAR) == F.lit(x.star)) for x in leaf.restrictions]
@@ -149,7 +208,7 @@ class Engine:
         else:
             granted = self.stored.where((F.col("object_type") == t) & (F.col("relation") == leaf.tupleset) & (F.col("subject_predicate") == BARE)).withColumn("via", F.lit(leaf.target))
             shapes = {(x.type, leaf.target): x.star for x in stored_restrictions(self.compiled.schema, (t, leaf.tupleset)) if x.predicate == BARE}
-        granted = granted.select(F.col("object_name").alias("o_name"), F.col("subject_type").alias("p_type"), F.col("subject_name").alias("p_name"), "via")
+        granted = asked(granted.select(F.col("object_name").alias("o_name"), F.col("subject_type").alias("p_type"), F.col("subject_name").alias("p_name"), "via"))
         kind = F.when(F.col("p_name") == STAR, "star").otherwise("pos")
         rows = granted.select("o_name", F.lit("").alias("source"), kind.alias("kind"), F.col("via").alias("s_pred"), F.col("p_type").alias("s_type"), F.col("p_name").alias("s_name"))
         rows = self._asked(rows)  # what flows below is of asked subjects already

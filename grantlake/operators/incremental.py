@@ -7,31 +7,16 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantlake.operators.engine import Engine
-from grantlake.plans.compile import Compiled, stored_restrictions
-from grantlake.plans.schema import BARE, STAR, Computed, Direct, Inherited, leaves
+from grantlake.functions.columns import TUPLE
+from grantlake.operators import rewrite as R
+from grantlake.operators.engine import OBJECT, Engine
+from grantlake.plans.compile import Compiled, dependency_rows
+from grantlake.plans.schema import STAR, Direct, Inherited, leaves
 from grantlake.sources.storage import cut, cut_or_empty
 
 KEY = ("type", "relation", "name")
 
 
-def dependency_rows(compiled: Compiled) -> list[tuple[str, str, str, str, str, str, str]]:
-    """(kind, source type, source relation, stored relation, stored predicate, type, relation):
-    a change of the source reaches the relation on the same object (computed), or on
-    the objects of stored tuples whose subject is the source (userset, inherited)."""
-    out = set()
-    for (t, r), e in compiled.schema.relations.items():
-        for leaf in leaves(e):
-            match leaf:
-                case Computed(other):
-                    out.add(("computed", t, other, "", "", t, r))
-                case Direct(rs):
-                    out |= {("userset", x.type, x.predicate, r, x.predicate, t, r) for x in rs if x.predicate != BARE}
-                case Inherited(target, p):
-                    out |= {("inherited", x.type, target, p, BARE, t, r) for x in stored_restrictions(compiled.schema, (t, p)) if x.predicate == BARE}
-    return sorted(out)
-
-
 def touched(compiled: Compiled, tuples: DataFrame) -> DataFrame:
     """(type, relation, name) of the sets that read changed tuples themselves."""
     readers = set()
@@ -48,7 +33,7 @@ def affected(compiled: Compiled, stored: DataFrame, changed: DataFrame) -> DataF
     """Every set that may differ once those in ``changed`` do, themselves included.
     Each round follows only what the round before found."""
     spark: SparkSession = stored.sparkSession
-    table = F.broadcast(spark.createDataFrame(dependency_rows(compiled), "kind string, s_type string, s_relation string, via string, pred string, d_type string, d_relation string"))
+    table = F.broadcast(spark.createDataFrame(dependency_rows(compiled.schema), "kind string, s_type string, s_relation string, via string, pred string, d_type string, d_relation string"))
     found = [cut(changed.select(*KEY).distinct())]
     while True:
         met = found[-1].join(table, (F.col("type") == F.col("s_type")) & (F.col("relation") == F.col("s_relation")))
@@ -66,8 +51,31 @@ def affected(compiled: Compiled, stored: DataFrame, changed: DataFrame) -> DataF
         found.append(new)
 
 
+def changed_keys(compiled: Compiled, before: DataFrame, after: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """(type, relation, name) of the sets that read what differs between two states of the
+    tuples. ``among``: tuples outside of which nothing has changed. Besides stored tuples these are names that come or go, where a star
+    stands for every name of a type."""
+    shapes = sorted(compiled.flowing | compiled.object_wildcards)
+    olds, news = (before, after) if among is None or compiled.object_wildcards else (x.join(among, list(TUPLE), "left_semi") for x in (before, after))
+    if compiled.object_wildcards:
+        olds, news = R.spread(before), R.spread(after)
+    differ = news.join(olds, list(TUPLE), "left_anti").unionByName(olds.join(news, list(TUPLE), "left_anti"))
+    keys = touched(compiled, cut(differ))
+    if shapes:
+        types = [t for t, _ in shapes]
+        old, new = (R.instances(x).where(F.col("type").isin(types)) for x in (before, after))
+        named = new.join(old, ["type", "name"], "left_anti").unionByName(old.join(new, ["type", "name"], "left_anti"))
+        table = F.broadcast(before.sparkSession.createDataFrame(shapes, "type string, relation string"))  # of the schema
+        keys = keys.unionByName(named.join(table, "type").select(*KEY)).distinct()
+    return keys
+
+
+def as_objects(keys: DataFrame) -> DataFrame:
+    return keys.select(F.col("relation").alias("o_pred"), F.col("type").alias("o_type"), F.col("name").alias("o_name"))
+
+
 def refresh(old_model: DataFrame, engine: Engine, keys: DataFrame) -> DataFrame:
-    """The model after a change: old rows of sets that ``keys`` does not hold, new rows of the rest."""
-    k = keys.select(F.col("type").alias("o_type"), F.col("relation").alias("o_pred"), F.col("name").alias("o_name")).distinct()
-    on = ["o_type", "o_pred", "o_name"]
-    return old_model.join(k, on, "left_anti").select(*old_model.columns).unionByName(engine.model().join(k, on, "left_semi").select(*old_model.columns))
+    """The model after a change: old rows of sets that ``keys`` does not hold, and the rest evaluated anew, alone."""
+    new = engine.update(as_objects(keys), old_model)
+    kept = old_model.join(new.demand, list(OBJECT), "left_anti")
+    return kept.select(*old_model.columns).unionByName(new.model().select(*old_model.columns))

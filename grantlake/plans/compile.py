@@ -64,6 +64,23 @@ def dependencies(schema: Schema, key: Key) -> set[Key]:
     return {k for k in out if k in schema.relations}
 
 
+def dependency_rows(schema: Schema) -> list[tuple[str, str, str, str, str, str, str]]:
+    """(kind, source type, source relation, stored relation, stored predicate, type, relation):
+    a change of the source reaches the relation on the same object (computed), or on
+    the objects of stored tuples whose subject is the source (userset, inherited)."""
+    out = set()
+    for (t, r), e in schema.relations.items():
+        for leaf in leaves(e):
+            match leaf:
+                case Computed(other):
+                    out.add(("computed", t, other, "", "", t, r))
+                case Direct(rs):
+                    out |= {("userset", x.type, x.predicate, r, x.predicate, t, r) for x in rs if x.predicate != BARE}
+                case Inherited(target, p):
+                    out |= {("inherited", x.type, target, p, BARE, t, r) for x in stored_restrictions(schema, (t, p)) if x.predicate == BARE}
+    return sorted(out)
+
+
 def taint(schema: Schema) -> frozenset[Key]:
     """Relations that hold, or read one that holds, an intersection or exclusion."""
     found = {k for k, e in schema.relations.items() if has_boolean(e)}

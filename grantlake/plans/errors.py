@@ -47,3 +47,7 @@ class LookupNotFresh(StaleRead):
 
 class LogGap(RuntimeError):
     """A log id that a reader has passed over without applying it."""
+
+
+class LeaseExpired(RuntimeError):
+    """A writer took longer than its lease, and its ids were given up; nothing of it was logged."""

@@ -21,9 +21,10 @@ from grantlake.operators import members as M
 from grantlake.operators import rewrite as R
 from grantlake.operators.incremental import affected, touched
 from grantlake.plans.compile import compile_schema
+from grantlake.plans.errors import LogGap
 from grantlake.plans.schema import parse
 from grantlake.sources import tables as T
-from grantlake.sources.storage import shared_dir
+from grantlake.sources.storage import numbered, shared_dir
 from grantlake.streaming.store import Store
 
 _T = "'{sp}' AS subject_predicate, '{st}' AS subject_type, {s} AS subject_name, '{r}' AS relation, '{ot}' AS object_type, {o} AS object_name"
@@ -497,10 +498,62 @@ def store_replay(spark, sf_dir):
     return T.fold_log(log.where(F.col("log_id") <= T.log_head(log).first()[0] // 2)).select(*TUPLE)
 
 
+def _joins(spark, sf_dir, kind: str) -> DataFrame:
+    """Who joins which group by events of one kind."""
+    return load(spark, sf_dir, _tuple("...", "user", "concat('u', user_id)", "member", "group", "concat('g', user_id % 7)") + f" FROM (SELECT DISTINCT user_id, event_type FROM events) AS e WHERE event_type = '{kind}'")
+
+
+def _new_store(spark, schema: str) -> Store:
+    return Store(spark, f"{shared_dir(spark)}/grantlake-store-{uuid.uuid4().hex}", parse(schema))
+
+
+def store_race(spark, sf_dir):
+    """Two writers, of whom the one with the lower ids logs last: token and members once only the other has logged, and at the end."""
+    store, views, buys = _new_store(spark, GROUP_SCHEMA), _joins(spark, sf_dir, "view"), _joins(spark, sf_dir, "purchase")
+    slow, fast = store.ids.reserve(views.count()), store.ids.reserve(buys.count())
+    steps = []
+    for step, (mine, rows) in enumerate(((fast, buys), (slow, views)), 1):
+        store.stage(mine, "ADD", rows)
+        store.publish(mine)
+        token = store.advance()
+        steps.append(store.model().agg(F.count("*").alias("n")).select(F.lit(step).alias("step"), F.lit(token).cast("long").alias("token"), "n"))
+    return reduce(DataFrame.union, steps)
+
+
+def store_gap(spark, sf_dir):
+    """A writer whose rows for clicks got lost after it settled: what is missing, and whether the follower refuses to go on."""
+    store, views, clicks = _new_store(spark, GROUP_SCHEMA), _joins(spark, sf_dir, "view"), _joins(spark, sf_dir, "click")
+    mine = store.ids.reserve(views.count() + clicks.count())
+    store.stage(mine, "ADD", views)
+    store.publish(mine)
+    try:
+        store.advance()
+        refused = False
+    except LogGap:
+        refused = True
+    return store.gaps().withColumn("refused", F.lit(refused))
+
+
+def store_cascade(spark, sf_dir):
+    """A store of the documents' tuples in which every third withheld document is withheld no more: the sets that
+    this version evaluates and the rows that it writes, by relation."""
+    store = _new_store(spark, DOC_SCHEMA)
+    rows = numbered(load(spark, sf_dir, DOCS), 0, list(TUPLE), "log_id")
+    T.append_log(rows.select("log_id", F.lit("main").alias("store_id"), F.lit("ADD").alias("op"), *TUPLE, F.lit(0.0).alias("created_at")), f"{store.path}/log")
+    store.advance()
+    store.write("REMOVE", load(spark, sf_dir, WITHHELD + " AND doc_id % 3 = 0"))
+    store.advance()
+    version = store.manifest()[0]
+    by = ["o_type", "o_pred"]
+    keys = store._model.changed(version - 1, version).groupBy(*by).agg(F.count("*").alias("n_sets"))
+    written = store._model.overlay(version - 1, version).groupBy(*by).agg(F.count("*").alias("n_rows"))
+    return keys.join(written, by, "left").fillna(0, ["n_rows"])
+
+
 _NAMES = """snapshot_scan tuple_admission reject_reasons pattern_match rewrite_fixpoint direct_multiplicity reference_counts
 closure path_counts topo_levels reach_forward reach_reverse point_reachability direct_edges edge_fanout insert_edge_delta remove_edge_delta remove_node cycle_check
 outbox_delta bridges population wildcard_check check_batch ghost_check expand lookup lookup_markers one_subject lookup_reverse inherited_access boolean_exclusion
 boolean_intersection derived_ttu derived_userset stratified_cascade set_union set_intersect set_subtract star_normalize materialize
 log_fold log_head log_tail log_gap index_lag outbox_prune affected_keys invariants
-store_follow store_outbox store_replay""".split()
+store_follow store_outbox store_replay store_race store_gap store_cascade""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}

@@ -48,6 +48,9 @@ _viewer_of = lambda s: Q._tuple("...", "user", s, "viewer", "doc", "concat('d',
 _FOLD = "SELECT subject_predicate, subject_type, subject_name, relation, object_type, object_name FROM (SELECT *, row_number() OVER (PARTITION BY subject_name, object_name ORDER BY log_id DESC) AS k FROM ({log}) AS l) AS x WHERE k = 1 AND op = 'ADD'"
 
 
+_JOINS = "j AS (SELECT DISTINCT user_id, event_type FROM events)"
+
+
 def _sets(holds: str) -> str:
     """A set operation said by membership: who is in either set, decided for every name that one of them
     mentions and for the star, and kept where it differs from the star."""
@@ -124,5 +127,20 @@ UNION ALL SELECT 'deltas_damaged', 2 * (SELECT count(*) FROM supplier)""",
     "edge_fanout": f"WITH down AS (SELECT src AS dst, count(*) AS d FROM ({_reach(where="WHERE src LIKE 'nation|%'")}) AS r GROUP BY src) SELECT concat('region|r', n_regionkey) AS src, concat('nation|n', n_nationkey) AS dst, coalesce(d, 0) + 1 AS touched FROM nation LEFT JOIN down ON dst = concat('nation|n', n_nationkey)",
     "store_follow": f"SELECT object_name AS o_name, count(*) AS n, min(subject_name) AS least, max(subject_name) AS most FROM ({_FOLD.format(log=Q.LOG)}) AS f GROUP BY object_name",
     "store_outbox": f"SELECT concat('...|user|', subject_name) AS src, concat('member|group|', object_name) AS dst, 1 AS n FROM ({_FOLD.format(log=Q.LOG)}) AS f",
+    "store_race": f"WITH {_JOINS} SELECT 1 AS step, CAST(0 AS BIGINT) AS token, count(*) AS n FROM j WHERE event_type = 'purchase' UNION ALL SELECT 2, count(*), count(DISTINCT user_id) FROM j WHERE event_type IN ('view', 'purchase')",
+    "store_gap": f"WITH {_JOINS} SELECT CAST(1 AS BIGINT) AS first, count(*) AS last, count(*) FILTER (event_type = 'click') AS missing, true AS refused FROM j WHERE event_type IN ('view', 'click') HAVING missing > 0",
+    "store_cascade": f"""WITH {_DOCS.replace("toxic = 1", "toxic = 1 AND doc_id % 3 <> 0")}, freed AS (
+  SELECT DISTINCT concat('d', doc_id) AS o_name FROM labels WHERE toxic = 1 AND doc_id % 3 = 0
+), sets AS (
+  SELECT 'doc' AS o_type, r AS o_pred, o_name FROM freed, (VALUES ('withheld'), ('viewer'), ('pinned')) AS v(r)
+  UNION ALL SELECT 'conv', r, v FROM conv JOIN freed ON o_name = d, (VALUES ('viewer'), ('silent')) AS w(r)
+  UNION ALL SELECT 'page', 'reader', v FROM page JOIN freed ON o_name = d
+), written AS (
+  SELECT 'doc' AS o_type, 'viewer' AS o_pred, o_name FROM viewer UNION ALL SELECT 'doc', 'pinned', o_name FROM pinned
+  UNION ALL SELECT 'conv', 'viewer', o_name FROM conv_viewer UNION ALL SELECT 'page', 'reader', o_name FROM page_reader
+), counted AS (
+  SELECT o_type, o_pred, o_name, count(*) AS n FROM written GROUP BY ALL
+)
+SELECT o_type, o_pred, count(*) AS n_sets, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_rows FROM sets LEFT JOIN counted USING (o_type, o_pred, o_name) GROUP BY ALL""",
     "store_replay": _FOLD.format(log=f"SELECT * FROM ({Q.LOG}) AS h WHERE log_id <= (SELECT max(event_id) // 2 FROM events)"),
 }

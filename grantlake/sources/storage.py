@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,13 +35,31 @@ def delete(spark: SparkSession, path: str) -> None:
         return
 
 
+_scopes = threading.local()
+
+
+@contextmanager
+def scope(spark: SparkSession):
+    """Delete the tables that ``cut`` writes inside when the block ends; nothing read from them may outlive it."""
+    outer, _scopes.paths = getattr(_scopes, "paths", None), []
+    try:
+        yield
+    finally:
+        mine, _scopes.paths = _scopes.paths, outer
+        for path in mine:
+            delete(spark, path)
+
+
 def cut(df: DataFrame, *by: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back. ``by``: columns to lay it out
     by, so that a filter on them reads its folders alone; files of even size, whatever the
     values' shares."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/grantlake-cut-{uuid.uuid4().hex}"
-    atexit.register(delete, spark, path)
+    if getattr(_scopes, "paths", None) is None:
+        atexit.register(delete, spark, path)
+    else:
+        _scopes.paths.append(path)
     if by:
         df.hint("rebalance", *by).write.partitionBy(*by).parquet(path)
     else:
