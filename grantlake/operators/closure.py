@@ -124,12 +124,13 @@ def cycles_of(edges: DataFrame, new: DataFrame) -> DataFrame:
 def edge_effect(counts: DataFrame, edges: DataFrame) -> DataFrame:
     """(src, dst, paths) that each of ``edges`` (src, dst) carries from what reaches its
     tail to what its head reaches, ends included. Ancestors meet descendants by
-    edge, an equi-join, so nothing else is paired."""
-    e = edges.select("src", "dst").distinct().withColumn("edge", F.concat_ws(">", "src", "dst"))
+    edge, an equi-join, so nothing else is paired. An edge with a ``multiplicity`` stands for as many."""
+    many = F.col("multiplicity") if "multiplicity" in edges.columns else F.lit(1)
+    e = edges.groupBy("src", "dst").agg(F.max(many).cast(COUNT).alias("m")).withColumn("edge", F.concat_ws(">", "src", "dst"))
     one = F.lit(1).cast(COUNT)
     above = counts.join(e.select(F.col("src").alias("dst"), "edge"), "dst").select("edge", F.col("src").alias("a"), F.col("paths").alias("pa"))
     below = counts.join(e.select(F.col("dst").alias("src"), "edge"), "src").select("edge", F.col("dst").alias("b"), F.col("paths").alias("pb"))
-    above = above.union(e.select("edge", F.col("src").alias("a"), one.alias("pa")))
+    above = above.union(e.select("edge", F.col("src").alias("a"), one.alias("pa"))).join(e.select("edge", "m"), "edge").select("edge", "a", (F.col("pa") * F.col("m")).cast(COUNT).alias("pa"))
     below = below.union(e.select("edge", F.col("dst").alias("b"), one.alias("pb")))
     return above.join(below, "edge").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum((F.col("pa") * F.col("pb")).cast(COUNT)).cast(COUNT).alias("paths"))
 
@@ -162,6 +163,52 @@ def remove_edges(counts: DataFrame, edges: DataFrame) -> DataFrame:
     return counts.unionByName(effect).groupBy("src", "dst").agg(F.sum("paths").cast(COUNT).alias("paths")).where("paths > 0")
 
 
+def _in_order(edges: DataFrame, of: DataFrame, node: str) -> list[DataFrame]:
+    """``of`` in groups by the level of its column ``node`` in an acyclic graph, lowest first. A node of a
+    level reaches none of the same level, so what stands in one group is independent."""
+    rank, looped = levels(edges)
+    if not looped.isEmpty():
+        raise ValueError("path counts need an acyclic graph")
+    placed = cut(of.join(rank.withColumnRenamed("node", "__node"), F.col(node) == F.col("__node")).drop("__node"))
+    steps = sorted(r["level"] for r in placed.select("level").distinct().collect())  # as many as the graph is deep
+    return [placed.where(F.col("level") == k).drop("level") for k in steps]
+
+
+def add_batch(counts: DataFrame, edges: DataFrame, new: DataFrame) -> DataFrame:
+    """Path counts of ``edges`` after new edges that may depend on each other (all: src, dst, multiplicity). Edges
+    are added by the level of their tails: a path is counted once, when the last of its new edges is."""
+    every = edges.select("src", "dst").union(new.select("src", "dst"))
+    for part in _in_order(every, new.groupBy("src", "dst").agg(F.sum("multiplicity").alias("multiplicity")), "src"):
+        counts = cut(add_edges(counts, part))
+    return counts
+
+
+def remove_batch(counts: DataFrame, edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """Path counts of ``edges`` without some that may depend on each other: a path goes once, with the first of them."""
+    for part in _in_order(edges, gone.groupBy("src", "dst").agg(F.sum("multiplicity").alias("multiplicity")), "src"):
+        counts = cut(remove_edges(counts, part))
+    return counts
+
+
+def remove_nodes(counts: DataFrame, references: DataFrame, edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(path counts, (node, refcount)) after ``nodes`` (node) go with all their edges (src, dst, multiplicity). What
+    runs through a node is what reaches it times what it reaches; nodes of a level at a time, as no path
+    holds two of these. A neighbour loses a reference for each edge, and goes with its last one."""
+    for part in _in_order(edges, nodes.select("node").distinct(), "node"):
+        into = counts.join(part.withColumnRenamed("node", "dst"), "dst").select(F.col("dst").alias("node"), F.col("src").alias("a"), F.col("paths").alias("pa"))
+        out = counts.join(part.withColumnRenamed("node", "src"), "src").select(F.col("src").alias("node"), F.col("dst").alias("b"), F.col("paths").alias("pb"))
+        through = into.join(out, "node").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum((F.col("pa") * F.col("pb")).cast(COUNT)).cast(COUNT).alias("paths"))
+        left = counts.unionByName(through.withColumn("paths", -F.col("paths"))).groupBy("src", "dst").agg(F.sum("paths").cast(COUNT).alias("paths")).where("paths > 0")
+        for end in ("src", "dst"):
+            left = left.join(part.withColumnRenamed("node", end), end, "left_anti")
+        counts = cut(left.select("src", "dst", "paths"))
+    ends = [F.struct(F.col(a).alias("node"), F.col(b).alias("other")) for a, b in (("src", "dst"), ("dst", "src"))]
+    sides = edges.select(F.explode(F.array(*ends)).alias("e"), "multiplicity").select("e.*", "multiplicity")
+    lost = sides.join(nodes.select(F.col("node").alias("other")).distinct(), "other", "left_semi").groupBy("node").agg(F.sum("multiplicity").alias("lost"))
+    kept = references.join(nodes, "node", "left_anti").join(lost, "node", "left").select("node", (F.col("refcount") - F.coalesce("lost", F.lit(0))).cast("long").alias("refcount"))
+    return counts, kept.where("refcount > 0")
+
+
 def remove_node(edges: DataFrame, node: str) -> DataFrame:
     """Edges without those at a node."""
     return edges.where((F.col("src") != node) & (F.col("dst") != node))

@@ -185,7 +185,8 @@ class Engine:
         e = self.compiled.schema.relations[key]
         parts = [self._leaf(key, leaf).withColumn("leaf", F.lit(i)) for i, leaf in enumerate(leaves(e))]
         rows = reduce(DataFrame.unionByName, parts).where(F.col("o_name") != STAR)
-        return M.combine(rows, ["o_name"], len(parts), lambda truths: _truth(e, iter(truths)))
+        # a leaf's rows are distinct: stored tuples, closures and evaluated sets are, and a source is told apart
+        return M.combine(rows, ["o_name"], len(parts), lambda truths: _truth(e, iter(truths)), distinct=True)
 
     def _asked(self, rows: DataFrame) -> DataFrame:
         """Those of member rows whose subject is asked for."""
@@ -265,7 +266,11 @@ class Engine:
         return lookup_reverse(self.focus(self._about(objects, "o_type", "o_pred"), objects).model(), objects)
 
     def expand(self, objects: DataFrame) -> DataFrame:
-        return expand(self.focus(self._about(objects, "o_type", "o_pred"), objects).model(), objects)
+        keys = self._about(objects, "o_type", "o_pred")
+        model = self.focus(keys, objects).model()
+        if self.compiled.tainted.issuperset(keys) and not self.compiled.object_wildcards:  # evaluated sets are canonical
+            return model.join(objects.select(*OBJECT).distinct(), list(OBJECT), "left_semi").select(*ROW)
+        return expand(model, objects)
 
 
 def _truth(e, truths) -> Column:
@@ -301,9 +306,10 @@ def lookup(model: DataFrame, subjects: DataFrame) -> DataFrame:
     s = subjects.select(*M.SUBJECT).distinct()
     named = s.join(model.where("kind = 'pos'"), list(M.SUBJECT)).select(*M.SUBJECT, *OBJECT)
     stars = model.where("kind = 'star'").select(*OBJECT, *M.SHAPE)
-    apart = model.where("kind = 'neg'").select(*OBJECT, *M.SUBJECT)
+    # exceptions, and in relations without booleans those that have the object by name too; of asked subjects alone
+    apart = model.where("kind <> 'star'").select(*OBJECT, *M.SUBJECT).join(s, list(M.SUBJECT), "left_semi")
     starred = s.join(stars, list(M.SHAPE)).select(*M.SUBJECT, *OBJECT).join(apart, [*M.SUBJECT, *OBJECT], "left_anti")
-    return named.union(starred).distinct().withColumn("marker", F.col("o_name") == STAR)
+    return named.unionByName(starred).withColumn("marker", F.col("o_name") == STAR)
 
 
 def lookup_markers(model: DataFrame, subjects: DataFrame) -> DataFrame:

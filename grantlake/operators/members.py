@@ -17,15 +17,16 @@ SUBJECT = ("s_pred", "s_type", "s_name")
 SHAPE = ("s_pred", "s_type")
 
 
-def combine(rows: DataFrame, key: Sequence[str], n: int, truth: Callable[[list[Column]], Column]) -> DataFrame:
+def combine(rows: DataFrame, key: Sequence[str], n: int, truth: Callable[[list[Column]], Column], distinct: bool = False) -> DataFrame:
     """Combine leaf sets by a boolean function of the leaves' truths.
 
     ``rows``: key, leaf (0..n-1), source, kind, subject. A leaf may have several
     sources, each canonical. A subject is in a leaf if some source names it, or more
     sources star its shape than except it; a shape's star is in a leaf if some source
     has it. The same function of the leaves decides stars and subjects, and a
-    subject is kept only where it differs from its shape's star."""
-    rows = rows.select(*key, "leaf", "source", "kind", *SUBJECT).distinct()
+    subject is kept only where it differs from its shape's star. ``distinct``: no row is there twice."""
+    rows = rows.select(*key, "leaf", "source", "kind", *SUBJECT)
+    rows = rows if distinct else rows.distinct()
     count = lambda kind, i: F.count(F.when((F.col("kind") == kind) & (F.col("leaf") == i), 1))
     stars = rows.where("kind = 'star'").groupBy(*key, *SHAPE).agg(*(count("star", i).alias(f"star{i}") for i in range(n)))
     named = rows.where("kind <> 'star'").groupBy(*key, *SUBJECT).agg(*(f for i in range(n) for f in (count("pos", i).alias(f"pos{i}"), count("neg", i).alias(f"neg{i}"))))

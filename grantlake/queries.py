@@ -253,6 +253,29 @@ def remove_node(spark, sf_dir):
     return C.reach(C.remove_node(_edges(spark, sf_dir), "nation|n0"))
 
 
+#: Edges that depend on each other: two levels above the regions, and from regions straight to customers.
+_BATCH = "SELECT 'galaxy|g' AS src, 'world|w' AS dst FROM (SELECT min(r_regionkey) AS k FROM region) AS x UNION ALL SELECT 'world|w' AS src, concat('region|r', r_regionkey) AS dst FROM region UNION ALL SELECT concat('region|r', n_regionkey) AS src, concat('customer|c', c_custkey) AS dst FROM (SELECT * FROM customer) AS c JOIN (SELECT * FROM nation) AS n ON c_nationkey = n_nationkey"
+_GONE = "SELECT concat('region|r', r_regionkey) AS node FROM region WHERE r_regionkey = 0 UNION ALL SELECT concat('nation|n', n_nationkey) AS node FROM nation WHERE n_nationkey % 5 = 0"
+
+
+def _multi(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("src", "dst").agg(F.count("*").alias("multiplicity"))
+
+
+def batch_delta(spark, sf_dir):
+    """Path counts maintained under a batch of new edges of which some lead into others."""
+    edges = _multi(_edges(spark, sf_dir))
+    return C.add_batch(C.path_counts(edges), edges, _multi(load(spark, sf_dir, _BATCH))).select("src", "dst", F.col("paths").cast("long").alias("paths"))
+
+
+def remove_node_counts(spark, sf_dir):
+    """Path counts and reference counts after a region and some nations, partly its own, are gone."""
+    edges = _multi(_edges(spark, sf_dir))
+    sides = edges.select(F.explode(F.array("src", "dst")).alias("node"), "multiplicity").groupBy("node").agg(F.sum("multiplicity").alias("refcount"))
+    counts, references = C.remove_nodes(C.path_counts(edges), sides, edges, load(spark, sf_dir, _GONE))
+    return counts.select("src", "dst", F.col("paths").cast("long").alias("n")).unionByName(references.select(F.col("node").alias("src"), F.lit("").alias("dst"), F.col("refcount").alias("n")))
+
+
 def cycle_check(spark, sf_dir):
     """Edges from every order back to its customer close a cycle; edges to a new node do not."""
     back = load(spark, sf_dir, "SELECT concat('order|o', o_orderkey) AS src, concat('customer|c', o_custkey) AS dst FROM orders UNION ALL SELECT concat('order|o', o_orderkey) AS src, 'sink|x' AS dst FROM orders")
@@ -551,7 +574,7 @@ def store_cascade(spark, sf_dir):
 
 
 _NAMES = """snapshot_scan tuple_admission reject_reasons pattern_match rewrite_fixpoint direct_multiplicity reference_counts
-closure path_counts topo_levels reach_forward reach_reverse point_reachability direct_edges edge_fanout insert_edge_delta remove_edge_delta remove_node cycle_check
+closure path_counts topo_levels reach_forward reach_reverse point_reachability direct_edges edge_fanout insert_edge_delta remove_edge_delta remove_node batch_delta remove_node_counts cycle_check
 outbox_delta bridges population wildcard_check check_batch ghost_check expand lookup lookup_markers one_subject lookup_reverse inherited_access boolean_exclusion
 boolean_intersection derived_ttu derived_userset stratified_cascade set_union set_intersect set_subtract star_normalize materialize
 log_fold log_head log_tail log_gap index_lag outbox_prune affected_keys invariants

@@ -88,6 +88,8 @@ SQL = {
     "insert_edge_delta": f"WITH RECURSIVE e AS ({Q.EDGES}), {_PATHS} SELECT 'world|w' AS src, dst, count(*) AS paths FROM (SELECT dst FROM p WHERE src LIKE 'region|%' UNION ALL SELECT concat('region|r', r_regionkey) FROM region) AS x GROUP BY dst",
     "remove_edge_delta": f"WITH RECURSIVE e AS (SELECT * FROM ({Q.EDGES}) AS a WHERE src NOT LIKE 'region|%'), {_PATHS} SELECT src, dst, count(*) AS paths FROM p GROUP BY src, dst",
     "remove_node": _reach(edges=f"SELECT * FROM ({Q.EDGES}) AS a WHERE src <> 'nation|n0' AND dst <> 'nation|n0'"),
+    "batch_delta": f"WITH RECURSIVE e AS ({Q.EDGES} UNION ALL {Q._BATCH}), {_PATHS} SELECT src, dst, count(*) AS paths FROM p GROUP BY src, dst",
+    "remove_node_counts": f"WITH RECURSIVE gone AS ({Q._GONE}), e AS (SELECT * FROM ({Q.EDGES}) AS a WHERE src NOT IN (SELECT node FROM gone) AND dst NOT IN (SELECT node FROM gone)), {_PATHS} SELECT src, dst, count(*) AS n FROM p GROUP BY src, dst UNION ALL SELECT node, '', count(*) FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) AS x GROUP BY node",
     "cycle_check": "SELECT concat('customer|c', o_custkey) AS dst, count(*) AS n FROM orders GROUP BY o_custkey",
     "outbox_delta": f"SELECT 'REMOVED' AS action, src, dst FROM ({_reach(where="WHERE dst LIKE 'supplier|%'")}) AS a UNION ALL SELECT 'ADDED', 'world|w', dst FROM (SELECT DISTINCT dst FROM ({_reach(where="WHERE src LIKE 'region|%' AND dst NOT LIKE 'supplier|%'")}) AS b UNION SELECT concat('region|r', r_regionkey) FROM region) AS c",
     "bridges": "SELECT 'member' AS src_pred, 'group' AS src_type, event_type AS src_name, 'member' AS dst_pred, 'group' AS dst_type, '*' AS dst_name FROM (SELECT DISTINCT event_type FROM events) AS e UNION ALL SELECT 'viewer', 'nation', '*all', 'viewer', 'nation', concat('n', n_nationkey) FROM nation",

@@ -28,6 +28,29 @@ def brute_reach(edges):
     return sorted(out)
 
 
+@pytest.mark.parametrize("seed", [2, 7])
+def test_counts_under_dependent_batches(spark, seed):
+    """Batches whose edges lead into each other, and nodes above each other: as counted anew."""
+    rng = random.Random(seed)
+    graph = [(f"{a:02}", f"{b:02}", rng.choice([1, 1, 2])) for a, b in itertools.combinations(range(9), 2) if rng.random() < 0.5]
+    new = set(rng.sample(graph, 8))
+    old = [e for e in graph if e not in new]
+    frame = lambda rows: spark.createDataFrame(sorted(rows), "src string, dst string, multiplicity long")
+    counted = lambda df: {(r["src"], r["dst"]): int(r["paths"]) for r in df.collect()}
+    before = C.path_counts(frame(old))
+    after = C.add_batch(before, frame(old), frame(new))
+    assert counted(after) == brute_counts(graph)
+    assert counted(C.remove_batch(after, frame(graph), frame(new))) == brute_counts(old)
+    gone = {"02", "03", "06"}
+    left = [e for e in graph if not gone & {e[0], e[1]}]
+    sides = lambda rows: {n: sum(m for a, b, m in rows if n in (a, b)) for a, b, _ in rows for n in (a, b)}
+    references = spark.createDataFrame(sorted(sides(graph).items()), "node string, refcount long")
+    counts, kept = C.remove_nodes(after, references, frame(graph), spark.createDataFrame([(n,) for n in sorted(gone)], "node string"))
+    assert counted(counts) == brute_counts(left) and {r["node"]: r["refcount"] for r in kept.collect()} == sides(left)
+    with pytest.raises(ValueError):
+        C.add_batch(before, frame(old), frame([("08", "00", 1), ("00", "08", 1)]))
+
+
 @pytest.mark.parametrize("seed", [1])
 def test_reach_random_graphs(spark, seed):
     rng = random.Random(seed)
