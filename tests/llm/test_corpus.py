@@ -249,6 +249,34 @@ def test_licenses(spark):
     assert by[6, len(pattern.findall(rows[5][1]))]["labels"] == "mit" and by[5, 9]["labels"] == "gpl,gpl-3.0"
 
 
+def test_plain_licence_lines(spark):
+    """Titles, identifiers and longer names: the labels that a reader would give, and none beside them."""
+    want = {
+        "MIT License": "mit", "SPDX-License-Identifier: MIT": "mit", "// SPDX-License-Identifier: GPL-3.0-only": "gpl-3.0", "GNU GPL v3": "gpl-3.0",
+        "BSD 3-Clause License": "bsd", "Mozilla Public License 2.0": "mpl-2.0", "CC0 1.0 Universal": "cc0", "released under MIT": "mit",
+        "Creative Commons Attribution 4.0": "cc-by", "Creative Commons Attribution-NonCommercial 4.0": "cc-by-nc",
+        "Creative Commons Attribution-NonCommercial-ShareAlike 4.0": "cc-by-nc-sa", "Creative Commons Attribution Share Alike": "cc-by-sa",
+        "Licensed under the Apache License, Version 2.0": "apache-2.0", "Apache License 2.0": "apache-2.0", "GNU Affero General Public License": "agpl,gpl",
+        "the licence of MIT": "", "license 2 0": "", "mit der license": "", "spdx license identifier": "", "creative commons": "", "attribution noncommercial": "",
+    }
+    got = {r["text"]: r["labels"] for r in licenses.scan(spark.createDataFrame([(t, f"See below. {t}\nThanks") for t in want], "doc_id string, text string")).withColumnRenamed("doc_id", "text").collect()}
+    assert got == want
+    # short phrases by brute force, at the ends of texts and twice
+    names = [(label, phrase.split()) for label, phrase in licenses.SHORT]
+    rng, rows = random.Random(2), []
+    for i in range(60):
+        words = []
+        for _ in range(rng.randrange(4)):
+            words += rng.choice(names)[1] + rng.choices(["x", "mit", "license", "0"], k=rng.randrange(3))
+        rows.append((i, words[rng.randrange(2) :]))
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()}
+    for i, w in rows:
+        spans = [(k, k + len(p), label) for label, p in names for k in range(len(w)) if w[k : k + len(p)] == p]
+        outer = [x for x in spans if not any((y[0] <= x[0] and x[1] <= y[1]) and y[:2] != x[:2] for y in spans)]
+        base = {label for phrase, label in licenses.BASE if f" {phrase} " in f" {' '.join(w)} "}  # these stay, wherever they lie
+        assert got[i] == ",".join(sorted({x[2] for x in outer} | base)), w
+
+
 def test_repeated_parts_of_a_licence_count_once(spark):
     texts = ["general public license general public license", "creative commons, creative commons", "creative commons, creative commons zero", "gnu affero gnu affero general public license", "gnu general public public license version 3", "general gnu public license affero public general license", "creative commons " * 300 + "attribution"]
     got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
