@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's documents. All but the last return
 the columns of documents.
+
+Defined cases: rows with a null or empty text have no words, so the quality rules
+reject them; an id that is null or stands in several rows is a document like any other
+there, and of equal texts near-dedup keeps one; texts are read whole, however long; columns
+besides those of documents are carried along, whatever their names, and take no part; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
