@@ -345,6 +345,57 @@ def brute_cutoff(values):
     return cut
 
 
+def brute_evidence(token):
+    """log2 of the likelihood of random characters over that of written ones, a character at a time."""
+    s = token.rstrip("=")
+    m = next(len(a) for p, a, _ in secrets._ENCODINGS if re.fullmatch(p.strip("^$"), s))
+    s = s.lower() if m < 62 else s
+    kind = lambda c: "digit" if c in "0123456789" else "lower" if c.islower() else "upper" if c.isupper() else "sign"
+    sound = lambda c: "none" if not c.isalpha() else "vowel" if c.lower() in "aeiou" else "consonant"
+    before, heard, total = "start", "none", 0.0
+    for c in s:
+        follows = dict(zip(("lower", "upper", "digit", "sign"), secrets.FOLLOWS[before]))
+        if m < 62:
+            follows["lower"] += follows.pop("upper")
+        p = follows[kind(c)]
+        if c.isalpha():
+            p *= secrets.VOWEL_AFTER[heard] if sound(c) == "vowel" else 1 - secrets.VOWEL_AFTER[heard]
+            p *= secrets.LETTER_SHARES[c.lower()] / sum(x for y, x in secrets.LETTER_SHARES.items() if sound(y) == sound(c))
+        else:
+            p *= 0.1 if kind(c) == "digit" else secrets.SIGN_SHARES[c]
+        total -= math.log2(p * m)
+        before, heard = kind(c), sound(c)
+    return total
+
+
+def brute_least(values):
+    """The least evidence that is reported: e-values' Benjamini-Hochberg over single candidates (None: dropped)."""
+    lower = [-1 if x is None or x < 0 else min(secrets.BINS, math.floor(x * 4)) for x in values]
+    good = [b for b in lower if b >= 0 and 2.0 ** (b / 4) * secrets.FALSE_REPORTS * sum(c >= b for c in lower) >= len(lower)]
+    return min(good, default=secrets.BINS + 1)
+
+
+def test_keys_are_found_and_names_are_not(spark):
+    """Planted keys among names in code, with digits: at least 95 % of the keys of each kind, and less than 2 % of the names."""
+    rng = random.Random(1)
+    terms = "get set user file path account table index count value parser request handler service stream buffer config session cluster update message string window client export worker thread package vector matrix".split()
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    kinds = {"base62": letters, "base64": letters + "+/", "prefixed": letters, "base36": letters[26:], "hex": "0123456789ABCDEF"}
+    rows = [(k, "ghp_" * (k == "prefixed") + "".join(rng.choice(a) for _ in range(rng.randrange(20, 65)))) for k, a in kinds.items() for _ in range(200)]
+    forms = {"camel": lambda ws: ws[0] + "".join(w.capitalize() for w in ws[1:]), "snake": "_".join, "constant": lambda ws: "_".join(ws).upper(), "path": "/".join, "dated": lambda ws: "-".join(ws) + "-2021-03-07"}
+    for form in forms:
+        for _ in range(200):
+            parts = [rng.choice(terms) for _ in range(rng.randrange(5, 8))]
+            parts.insert(rng.randrange(1, len(parts) + 1), str(rng.randrange(1000)))
+            rows.append((form, forms[form](parts)))
+    rows = [(k, t) for k, t in rows if re.search(secrets.CANDIDATE, t) and re.search("[0-9]", t) and re.search("[A-Za-z]", t)]
+    got = {r["doc_id"]: bool(r["random"]) for r in secrets.scan(spark.createDataFrame([(i, f"see {t} here") for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()}
+    for kind in [*kinds, *forms]:
+        found = [got[i] for i, (k, _) in enumerate(rows) if k == kind]
+        assert len(found) > 150
+        assert sum(found) >= 0.95 * len(found) if kind in kinds else sum(found) < 0.02 * len(found), (kind, sum(found), len(found))
+
+
 def test_battery_equals_its_definitions(spark):
     rng = random.Random(3)
     written = [("word" * rng.randrange(5, 12) + str(k))[: rng.randrange(20, 48)] + "7" for k in range(60)]
@@ -358,11 +409,13 @@ def test_battery_equals_its_definitions(spark):
     for i, t in enumerate(texts[:-1]):
         classes.setdefault(sum(len(t.rstrip("=")) >= n for n in secrets.LENGTHS), []).append((i, brute_battery(t)))
     for cls, rows in classes.items():
-        values = [x for _, x in rows] + ([0.0] if cls == len(secrets.LENGTHS) else [])  # the long token is random
-        cut = brute_cutoff(values)
+        last = cls == len(secrets.LENGTHS)  # the long token is random
+        cut = brute_cutoff([x for _, x in rows] + [0.0] * last)
+        evidence = {i: brute_evidence(texts[i]) if math.floor(x * 4) < cut else None for i, x in rows}
+        least = brute_least([*evidence.values()] + [100.0] * last)
         for i, x in rows:
             if abs(x * 4 - cut) > 0.05:  # the tail is approximated
-                assert ("random" in got[i]) == (math.floor(x * 4) < cut), (texts[i], x, cut)
+                assert ("random" in got[i]) == (evidence[i] is not None and math.floor(evidence[i] * 4) >= least), (texts[i], x, cut, evidence[i], least)
     assert got[len(texts) - 1] == "random:0:1000000"
 
 
