@@ -24,6 +24,7 @@ from grantlake.plans.compile import compile_schema
 from grantlake.plans.errors import LogGap
 from grantlake.plans.schema import parse
 from grantlake.sources import tables as T
+from grantlake.sources.probes import Probes
 from grantlake.sources.storage import numbered, shared_dir
 from grantlake.streaming.store import Store
 
@@ -495,6 +496,62 @@ def invariants(spark, sf_dir):
     return reduce(DataFrame.union, [df.agg(F.count("*").alias("violations")).select(F.lit(k).alias("kind"), "violations") for k, df in kinds.items()])
 
 
+def audit(spark, sf_dir):
+    """More violations, in sound state and in planted damage: counts of supplier pairs put to 0 and of nations dropped; a
+    reference too many for each supplier and none for regions; loops at finished orders; bridges of the group ``error`` gone and
+    of nations added; rows of no relation and stars with a name; an outbox that follows events as they
+    come, and one that lacks the suppliers."""
+    edges = _multi(_edges(spark, sf_dir))
+    counts, reached = C.path_counts(edges), C.reach(edges.select("src", "dst"))
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node"))
+    references = ends.groupBy("node").agg(F.count("*").alias("refcount"))
+    supplier = lambda c: F.col(c).like("supplier|%")
+    loops = load(spark, sf_dir, "SELECT concat('order|o', o_orderkey) AS src, concat('order|o', o_orderkey) AS dst, 1 AS multiplicity FROM orders WHERE o_orderstatus = 'F'")
+    wild = _engine(spark, sf_dir, _WILD, parse(WILD_SCHEMA, _WILD_SHAPES))
+    starred = wild.edges()
+    added = load(spark, sf_dir, "SELECT concat('viewer|nation|n', n_nationkey) AS src, 'viewer|nation|*' AS dst FROM nation")
+    docs = _docs(spark, sf_dir).focus([("group", "member")])
+    model = docs.model()
+    author = load(spark, sf_dir, AUTHORS).select(F.lit("author").alias("o_pred"), F.lit("doc").alias("o_type"), F.col("object_name").alias("o_name"), F.lit("star").alias("kind"), F.lit("...").alias("s_pred"), F.lit("user").alias("s_type"), F.col("subject_name").alias("s_name"))
+    nowhere = author.withColumn("kind", F.lit("pos")).withColumn("o_pred", F.lit("nothing"))
+    outbox = numbered(C.flips(reached.limit(0), reached), 0, ["action", "src", "dst"], "id")
+    events = load(spark, sf_dir, LOG).select(F.col("log_id").alias("id"), F.when(F.col("op") == "ADD", "ADDED").otherwise("REMOVED").alias("action"), F.col("subject_name").alias("src"), F.col("object_name").alias("dst"))
+    kinds = {
+        "counts": I.miscounted(counts, edges),
+        "counts_damaged": I.miscounted(counts.where("dst not like 'nation|%'").withColumn("paths", F.when(supplier("dst"), 0).otherwise(F.col("paths"))), edges),
+        "references": I.wrong_references(references, edges),
+        "references_damaged": I.wrong_references(references.where("node not like 'region|%'").withColumn("refcount", F.col("refcount") + supplier("node").cast("int")), edges),
+        "cycles": I.looped(edges),
+        "cycles_damaged": I.looped(edges.select("src", "dst").union(loops.select("src", "dst"))),
+        "bridges": I.wrong_bridges(starred, wild.stored, wild.compiled),
+        "bridges_damaged": I.wrong_bridges(starred.where("src <> 'member|group|error'").union(added), wild.stored, wild.compiled),
+        "placement": I.misplaced(model, docs.compiled),
+        "placement_damaged": I.misplaced(model.unionByName(author).unionByName(nowhere), docs.compiled),
+        "outbox": I.unsound_outbox(outbox),
+        "outbox_damaged": I.unsound_outbox(events),
+        "drift": I.outbox_drift(outbox, reached),
+        "drift_damaged": I.outbox_drift(outbox.where(~supplier("dst")), reached),
+    }
+    return reduce(DataFrame.union, [df.agg(F.count("*").alias("violations")).select(F.lit(k).alias("kind"), "violations") for k, df in kinds.items()])
+
+
+def _laid_out(spark, sf_dir) -> Probes:
+    """The model of documents' viewers, laid out for probes."""
+    model = _docs(spark, sf_dir).focus([("doc", "viewer")]).model()
+    return Probes.write(model, f"{shared_dir(spark)}/grantlake-probes-{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def probe_check(spark, sf_dir):
+    """The questions of ``check_batch`` put to a model that is laid out for them."""
+    asked = load(spark, sf_dir, " UNION ALL ".join(_tuple("...", "user", f"concat('u', doc_id % {n})", "viewer", "doc", "concat('d', doc_id)") + " FROM documents" for n in (150, 149)))
+    return _laid_out(spark, sf_dir).check(asked.distinct())
+
+
+def probe_reverse(spark, sf_dir):
+    """Members, stars and exceptions of every document's viewers, read from the layout by object."""
+    return _laid_out(spark, sf_dir).lookup_reverse(_objects(spark, sf_dir, "viewer"))
+
+
 def _store(spark, sf_dir, tuples: str, schema: str):
     """A store whose log is written in two files (in no order of ids), then followed file by file."""
     store = Store(spark, f"{shared_dir(spark)}/grantlake-store-{uuid.uuid4().hex}", parse(schema))
@@ -577,6 +634,6 @@ _NAMES = """snapshot_scan tuple_admission reject_reasons pattern_match rewrite_f
 closure path_counts topo_levels reach_forward reach_reverse point_reachability direct_edges edge_fanout insert_edge_delta remove_edge_delta remove_node batch_delta remove_node_counts cycle_check
 outbox_delta bridges population wildcard_check check_batch ghost_check expand lookup lookup_markers one_subject lookup_reverse inherited_access boolean_exclusion
 boolean_intersection derived_ttu derived_userset stratified_cascade set_union set_intersect set_subtract star_normalize materialize
-log_fold log_head log_tail log_gap index_lag outbox_prune affected_keys invariants
+log_fold log_head log_tail log_gap index_lag outbox_prune affected_keys invariants audit probe_check probe_reverse
 store_follow store_outbox store_replay store_race store_gap store_cascade""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}

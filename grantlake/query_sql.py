@@ -125,6 +125,11 @@ UNION ALL SELECT 'missing_damaged', 2 * (SELECT count(*) FROM supplier)
 UNION ALL SELECT 'unsupported_damaged', (SELECT count(*) FROM supplier)
 UNION ALL SELECT 'form_damaged', (SELECT count(*) FROM authors JOIN listed USING (o_name)) + (SELECT count(*) FROM authors) + (SELECT count(*) FROM (SELECT o_name, u FROM authors EXCEPT SELECT o_name, u FROM authors JOIN listed USING (o_name)) AS twice)
 UNION ALL SELECT 'deltas_damaged', 2 * (SELECT count(*) FROM supplier)""",
+    "audit": f"""WITH n(suppliers, nations, docs, regions, loops, errors, idle) AS (SELECT (SELECT count(*) FROM supplier), (SELECT count(*) FROM nation), (SELECT count(*) FROM documents),
+  (SELECT count(DISTINCT n_regionkey) FROM nation), (SELECT count(*) FROM orders WHERE o_orderstatus = 'F'), (SELECT count(DISTINCT event_type) FROM events WHERE event_type = 'error'),
+  (SELECT count(*) FROM (SELECT op, lag(op, 1, 'REMOVE') OVER (PARTITION BY subject_name, object_name ORDER BY log_id) AS before FROM ({Q.LOG}) AS l) AS x WHERE op = before))
+SELECT kind, violations FROM n, LATERAL (VALUES ('counts', 0), ('references', 0), ('cycles', 0), ('bridges', 0), ('placement', 0), ('outbox', 0), ('drift', 0), ('counts_damaged', 2 * suppliers + nations),
+  ('references_damaged', suppliers + regions), ('cycles_damaged', loops), ('bridges_damaged', errors + nations), ('placement_damaged', 2 * docs), ('outbox_damaged', idle), ('drift_damaged', 2 * suppliers)) AS v(kind, violations)""",
     "direct_edges": "SELECT 'nation|n0' AS src, concat('customer|c', c_custkey) AS dst, c_nationkey = 0 AS direct FROM customer UNION ALL SELECT 'nation|n0', concat('supplier|s', s_suppkey), s_nationkey = 0 FROM supplier UNION ALL SELECT 'nation|n0', concat('order|o', o_orderkey), false FROM orders",
     "edge_fanout": f"WITH down AS (SELECT src AS dst, count(*) AS d FROM ({_reach(where="WHERE src LIKE 'nation|%'")}) AS r GROUP BY src) SELECT concat('region|r', n_regionkey) AS src, concat('nation|n', n_nationkey) AS dst, coalesce(d, 0) + 1 AS touched FROM nation LEFT JOIN down ON dst = concat('nation|n', n_nationkey)",
     "store_follow": f"SELECT object_name AS o_name, count(*) AS n, min(subject_name) AS least, max(subject_name) AS most FROM ({_FOLD.format(log=Q.LOG)}) AS f GROUP BY object_name",
@@ -146,3 +151,4 @@ UNION ALL SELECT 'deltas_damaged', 2 * (SELECT count(*) FROM supplier)""",
 SELECT o_type, o_pred, count(*) AS n_sets, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_rows FROM sets LEFT JOIN counted USING (o_type, o_pred, o_name) GROUP BY ALL""",
     "store_replay": _FOLD.format(log=f"SELECT * FROM ({Q.LOG}) AS h WHERE log_id <= (SELECT max(event_id) // 2 FROM events)"),
 }
+SQL |= {"probe_check": SQL["check_batch"], "probe_reverse": SQL["expand"]}
