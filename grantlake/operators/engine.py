@@ -195,6 +195,16 @@ class Engine:
         node = F.concat_ws("|", *M.SUBJECT)
         return rows.join(self._sources.withColumnRenamed("node", "__asked"), node == F.col("__asked"), "left_semi")
 
+    def granted(self, key: Key, leaf: Direct | Inherited) -> DataFrame:
+        """(o_name, p_type, p_name, via): what the stored tuples of one leaf take in: subjects, or sets by their relation ``via``."""
+        t, r = key
+        if isinstance(leaf, Direct):
+            admits = [(F.col("subject_type") == x.type) & (F.col("subject_predicate") == x.predicate) & ((F.col("subject_name") == STAR) == F.lit(x.star)) for x in leaf.restrictions]
+            rows = self.stored.where((F.col("object_type") == t) & (F.col("relation") == r) & reduce(lambda a, b: a | b, admits)).withColumn("via", F.col("subject_predicate"))
+        else:
+            rows = self.stored.where((F.col("object_type") == t) & (F.col("relation") == leaf.tupleset) & (F.col("subject_predicate") == BARE)).withColumn("via", F.lit(leaf.target))
+        return rows.select(F.col("object_name").alias("o_name"), F.col("subject_type").alias("p_type"), F.col("subject_name").alias("p_name"), "via")
+
     def _leaf(self, key: Key, leaf) -> DataFrame:
         """(o_name, source, kind, subject) of one leaf."""
         t, r = key
@@ -203,13 +213,10 @@ class Engine:
             return asked(self.of((t, leaf.relation))).withColumn("source", F.lit(""))
         # what the schema lets the leaf read: shapes through which members flow, and those that may be starred
         if isinstance(leaf, Direct):
-            admits = [(F.col("subject_type") == x.type) & (F.col("subject_predicate") == x.predicate) & ((F.col("subject_name") == STAR) == F.lit(x.star)) for x in leaf.restrictions]
-            granted = self.stored.where((F.col("object_type") == t) & (F.col("relation") == r) & reduce(lambda a, b: a | b, admits)).withColumn("via", F.col("subject_predicate"))
             shapes = {(x.type, x.predicate): x.star for x in sorted(leaf.restrictions) if x.predicate != BARE}
         else:
-            granted = self.stored.where((F.col("object_type") == t) & (F.col("relation") == leaf.tupleset) & (F.col("subject_predicate") == BARE)).withColumn("via", F.lit(leaf.target))
             shapes = {(x.type, leaf.target): x.star for x in stored_restrictions(self.compiled.schema, (t, leaf.tupleset)) if x.predicate == BARE}
-        granted = asked(granted.select(F.col("object_name").alias("o_name"), F.col("subject_type").alias("p_type"), F.col("subject_name").alias("p_name"), "via"))
+        granted = asked(self.granted(key, leaf))
         kind = F.when(F.col("p_name") == STAR, "star").otherwise("pos")
         rows = granted.select("o_name", F.lit("").alias("source"), kind.alias("kind"), F.col("via").alias("s_pred"), F.col("p_type").alias("s_type"), F.col("p_name").alias("s_name"))
         rows = self._asked(rows)  # what flows below is of asked subjects already

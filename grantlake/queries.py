@@ -20,6 +20,7 @@ from grantlake.operators import invariants as I
 from grantlake.operators import members as M
 from grantlake.operators import rewrite as R
 from grantlake.operators.incremental import affected, touched
+from grantlake.operators.symbolic import Symbolic, rel_of
 from grantlake.plans.compile import compile_schema
 from grantlake.plans.errors import LogGap
 from grantlake.plans.schema import parse
@@ -361,6 +362,26 @@ def lookup_markers(spark, sf_dir):
     return _docs(spark, sf_dir).lookup_markers(users, [("doc", "viewer")])
 
 
+def symbolic_check(spark, sf_dir):
+    """The questions of ``check_batch`` put to a model that names usersets instead of their members."""
+    asked = load(spark, sf_dir, _tuple("...", "user", "concat('u', doc_id % 150)", "viewer", "doc", "concat('d', doc_id)") + " FROM documents UNION ALL " + _tuple("...", "user", "concat('u', doc_id % 149)", "viewer", "doc", "concat('d', doc_id)") + " FROM documents")
+    return Symbolic.build(_docs(spark, sf_dir)).check(asked.distinct())
+
+
+def symbolic_lookup(spark, sf_dir):
+    """What the users with errors reach in documents' viewer, from such a model."""
+    users = load(spark, sf_dir, "SELECT DISTINCT '...' AS s_pred, 'user' AS s_type, concat('u', user_id) AS s_name FROM events WHERE event_type = 'error'")
+    return Symbolic.build(_docs(spark, sf_dir)).lookup(users, [("doc", "viewer")])
+
+
+def symbolic_rows(spark, sf_dir):
+    """How many rows such a model has, by relation and leaf, and how many memberships of groups (leaf null)."""
+    symbolic = Symbolic.build(_docs(spark, sf_dir))
+    grants = symbolic.grants.groupBy("rel", "leaf").agg(F.count("*").alias("n"))
+    held = symbolic.held.groupBy(rel_of(F.col("dst")).alias("rel"), F.lit(None).cast("int").alias("leaf")).agg(F.count("*").alias("n"))
+    return grants.unionByName(held)
+
+
 def one_subject(spark, sf_dir):
     """The boolean relation doc#viewer evaluated anew for two users alone."""
     users = spark.createDataFrame([("...", "user", "u1"), ("...", "user", "u2")], "s_pred string, s_type string, s_name string")
@@ -632,7 +653,7 @@ def store_cascade(spark, sf_dir):
 
 _NAMES = """snapshot_scan tuple_admission reject_reasons pattern_match rewrite_fixpoint direct_multiplicity reference_counts
 closure path_counts topo_levels reach_forward reach_reverse point_reachability direct_edges edge_fanout insert_edge_delta remove_edge_delta remove_node batch_delta remove_node_counts cycle_check
-outbox_delta bridges population wildcard_check check_batch ghost_check expand lookup lookup_markers one_subject lookup_reverse inherited_access boolean_exclusion
+outbox_delta bridges population wildcard_check check_batch ghost_check expand lookup lookup_markers symbolic_check symbolic_lookup symbolic_rows one_subject lookup_reverse inherited_access boolean_exclusion
 boolean_intersection derived_ttu derived_userset stratified_cascade set_union set_intersect set_subtract star_normalize materialize
 log_fold log_head log_tail log_gap index_lag outbox_prune affected_keys invariants audit probe_check probe_reverse
 store_follow store_outbox store_replay store_race store_gap store_cascade""".split()

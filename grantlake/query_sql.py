@@ -152,3 +152,13 @@ SELECT o_type, o_pred, count(*) AS n_sets, CAST(coalesce(sum(n), 0) AS BIGINT) A
     "store_replay": _FOLD.format(log=f"SELECT * FROM ({Q.LOG}) AS h WHERE log_id <= (SELECT max(event_id) // 2 FROM events)"),
 }
 SQL |= {"probe_check": SQL["check_batch"], "probe_reverse": SQL["expand"]}
+SQL |= {
+    "symbolic_check": SQL["check_batch"],
+    "symbolic_lookup": SQL["lookup"],
+    "symbolic_rows": f"""WITH t AS (SELECT DISTINCT * FROM ({Q.DOCS}) AS x)
+SELECT concat(object_type, '#', relation) AS rel, CASE WHEN relation = 'reader' THEN 0 ELSE -1 END AS leaf, count(*) AS n FROM t WHERE relation <> 'topic' GROUP BY ALL
+UNION ALL SELECT 'conv#topic', -1, count(*) FROM t WHERE relation = 'topic' HAVING count(*) > 0
+UNION ALL SELECT rel, leaf, count(*) FROM t, (VALUES ('conv#viewer', 0), ('conv#silent', 1)) AS v(rel, leaf) WHERE relation = 'topic' GROUP BY ALL
+UNION ALL SELECT 'doc#shelved', -1, count(*) FROM (SELECT object_name, 'viewer' AS p, subject_name FROM t WHERE relation = 'parent' UNION SELECT d.object_name, 'member', f.subject_name FROM t AS d JOIN t AS f ON d.relation = 'parent' AND f.object_type = 'folder' AND f.object_name = d.subject_name) AS s HAVING count(*) > 0
+UNION ALL SELECT 'group#member', NULL, count(*) FROM t WHERE relation = 'member' HAVING count(*) > 0""",
+}
