@@ -18,9 +18,8 @@ conv_id form one conversation, those with a null turn come first in theirs; rows
 that repeat are messages of their own, ordered by role and text and then
 arbitrarily among equals; an empty table gives an empty table; other columns are ignored.
 
-A quote of a sentence that its author wrapped over line ends links (``wrapped``), and so do short ones
-(``least_chars``). The registered query turns both off, as its SQL does: there own words end at each line
-end, and sentences of fewer than ``LEAST_CHARS`` characters are neither counted nor linked. Texts of any
+A quote of a sentence that its author wrapped over line ends links, and so do quotes of one character: own words are
+hashed both with their line ends and with lines joined. Texts of any
 length are parsed whole; of sources quoted equally often the latest is answered.
 """
 
@@ -34,18 +33,16 @@ from grantlake.llm._shared import Scratch, with_rank
 #: Fixed patterns: a quote prefix, and the line that introduces a quote.
 QUOTE = r"^ ?(?:> ?)+"
 INTRO = r"^\s*(?:On|Am|Le|El) .*(?:wrote|schrieb.*|a écrit|escribió)\s*:\s*$"
-LEAST_CHARS = 8
 
 
 def _sql(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\") + "'"
 
 
-def parse(messages: DataFrame, text: str = "text", wrapped: bool = True, least_chars: int = 1) -> DataFrame:
-    """Add ``content`` (own words) and ``quoted``: an array of (level, s) sentences of at least ``least_chars``
-    characters, and ``own``: the sentences of the content, split at line ends and, if ``wrapped``, also
-    with lines joined, as those of quotes are."""
-    split = "filter(transform(split({}, '[.!?\\n]+', -1), s -> trim(regexp_replace(lower(s), '[^\\\\p{{L}}\\\\p{{N}}]+', ' '))), s -> length(s) >= " + str(least_chars) + ")"
+def parse(messages: DataFrame, text: str = "text") -> DataFrame:
+    """Add ``content`` (own words) and ``quoted``: an array of (level, s) sentences, and ``own``: the
+    sentences of the content, split at line ends and also with lines joined, as those of quotes are."""
+    split = "filter(transform(split({}, '[.!?\\n]+', -1), s -> trim(regexp_replace(lower(s), '[^\\\\p{{L}}\\\\p{{N}}]+', ' '))), s -> length(s) > 0)"
     lines = f"transform(split(coalesce({text}, ''), '\\n', -1), l -> struct(length(regexp_replace(regexp_extract(l, {_sql(QUOTE)}, 0), '[^>]', '')) as level, l as line))"
     out = messages.withColumn("__l", F.expr(lines))
     own = f"filter(__l, (x, i) -> x.level = 0 and not (get(__l, i + 1).level is not null and get(__l, i + 1).level > 0 and x.line rlike {_sql(INTRO)}))"
@@ -55,15 +52,15 @@ def parse(messages: DataFrame, text: str = "text", wrapped: bool = True, least_c
     joined = "replace(content, '\\n', ' ')"
     levels = "array_sort(array_distinct(filter(transform(__l, x -> x.level), v -> v > 0)))"
     quoted = f"flatten(transform({levels}, v -> transform({split.format(passage)}, s -> struct(v as level, s as s))))"
-    return out.withColumn("quoted", F.expr(quoted)).withColumn("own", F.expr(f"array_union({split.format('content')}, {split.format(joined)})" if wrapped else split.format("content"))).drop("__l")
+    return out.withColumn("quoted", F.expr(quoted)).withColumn("own", F.expr(f"array_union({split.format('content')}, {split.format(joined)})")).drop("__l")
 
 
-def thread(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", wrapped: bool = True, least_chars: int = 1, scratch: Scratch | None = None) -> DataFrame:
+def thread(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """conv_id, turn, role, parent_turn, position, n_quotes, n_linked, content."""
     scratch = scratch or Scratch(messages.sparkSession)
     rows = messages.select(F.col(f"`{conv}`").alias("conv_id"), F.col(f"`{turn}`").cast("long").alias("turn"), F.col(f"`{role}`").alias("role"), F.col(f"`{text}`").cast("string").alias("text"))
     ranked = with_rank(scratch, rows, [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text")], "at", keep_part=True)
-    parsed = scratch.write(parse(ranked, wrapped=wrapped, least_chars=least_chars).drop("text"), "parsed")
+    parsed = scratch.write(parse(ranked).drop("text"), "parsed")
 
     quotes = parsed.select("at", "conv_id", "turn", F.explode("quoted").alias("q")).select("at", "conv_id", "turn", "q.level", F.xxhash64("q.s").alias("h"))
     asked = quotes.select("conv_id", "h").distinct()

@@ -110,7 +110,7 @@ _INTRO = r"^\s*(?:On|Am|Le|El) .*(?:wrote|schrieb.*|a écrit|escribió)\s*:\s*$"
 
 
 def _sentences(text: str) -> str:
-    return rf"list_filter(list_transform(string_split_regex({text}, '[.!?\n]+'), lambda s: trim(regexp_replace(lower(s), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))), lambda s: length(s) >= 8)"
+    return rf"list_filter(list_transform(string_split_regex({text}, '[.!?\n]+'), lambda s: trim(regexp_replace(lower(s), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))), lambda s: length(s) >= 1)"
 
 
 OP7 = rf"""
@@ -132,6 +132,7 @@ WITH m AS (
   SELECT msg, level, unnest({_sentences('p')}) AS s FROM passages
 ), mine AS (
   SELECT conv_id, turn, unnest({_sentences('content')}) AS s FROM own JOIN m USING (msg)
+  UNION ALL SELECT conv_id, turn, unnest({_sentences("replace(content, chr(10), ' ')")}) FROM own JOIN m USING (msg)
 ), source AS (
   SELECT conv_id, s, min(turn) AS source FROM mine GROUP BY ALL
 ), votes AS (

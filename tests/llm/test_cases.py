@@ -90,10 +90,11 @@ def test_sql(spark, name):
 def test_quotes_against_sql(spark):
     rows = [(1, 0, "a", "Hello there everyone. This is the first message!\nSecond line is here"), (1, 1, "b", "I think we should go to Paris. What about you?"), (1, 2, "a", "On Monday bob wrote:\n> I think we should\n> go to Paris.\nYes, agreed fully.")]
     rows += [(1, 3, "c", "> Hello there everyone.\n> > nothing matched here\nLate reply to the first"), (1, 4, "c", "more of the same branch"), (1, 5, "d", ">> Hello there everyone.\n> Late reply to the first\nDeep answer now")]
+    rows += [(2, 0, "a", "the first half of it\ncontinues here and ends. Ja."), (2, 1, "b", "I agree."), (2, 2, "c", "> the first half of it\n> continues here and ends.\nYes."), (2, 3, "d", "> I agree.\n> > Ja.\nSo do I."), (2, 4, "e", "> > Ja.\n> !\nA third")]
     rows += [(None, 3, "z", "null conv message here"), (None, None, "z", "> null conv message here\nzz"), (3, 5, "q", "> not found quote text")]
     rows += [(9, k, "r", f"message number {k} says something\nline two of {k}" if k % 7 else f"> message number {max(k - 5, 0)} says something\nreply {k} goes here") for k in range(40)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = chat.thread(df, wrapped=False, least_chars=chat.LEAST_CHARS)
+    got = chat.thread(df)
     conversations = df.toPandas().astype({"conv_id": "Int64", "turn": "Int64"})  # noqa: F841  read by the SQL
     want = duckdb.sql(OP7).project(", ".join(got.columns)).fetchall()
     assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, want))
