@@ -2,10 +2,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from grantlake import queries as Q
+from grantlake.operators import engine as E
+from grantlake.operators import members as M
 from grantlake.operators import shared as S
 from grantlake.operators.engine import OBJECT, ROW, Engine
 from grantlake.plans.compile import compile_schema
 from grantlake.plans.schema import parse
+from grantlake.sources.probes import Probes
 from tests import schemas
 from tests.test_engine import COLUMNS
 
@@ -53,3 +56,29 @@ def test_inherited_sets_are_counted_by_class(spark):
     viewers = S.share(engine, [("customer", "viewer")], about=F.col("s_type") == "user")
     assert viewers.rows.count() == 2 * 9
     same(viewers.sizes().select("o_name", "n"), spark.createDataFrame([(f"c{k}", 9) for k in range(30)], "o_name string, n long"))
+
+
+def test_answers_about_shared_sets(spark, tmp_path):
+    """Lookups, expansion, counts, sets beside others and probes say of shared sets what is said of the model; the layout
+    holds a class once, however many objects have it."""
+    engine, key = fair(spark), ("booth", "inside")
+    model = engine.focus([key]).model().where("o_pred = 'inside'").select(*ROW)
+    who = spark.createDataFrame([("...", "visitor", v) for v in ("v0", "v1", "ghost")], "s_pred string, s_type string, s_name string")
+    same(S.lookup(engine, who, [key]), E.lookup(model, who))
+    same(S.lookup_markers(engine, who, [key]), E.lookup_markers(model, who))
+    objects = model.select(*OBJECT).distinct()
+    same(S.expand(engine, objects.where("o_name in ('b0', 'b1')")), model.where("o_name in ('b0', 'b1')"))
+    shared, people = S.share(engine, [key]), who.unionByName(spark.createDataFrame([("...", "visitor", "v2")], who.schema))
+    same(shared.members(people).select("o_name", "n"), M.count_members(model, people, ["o_name"]))
+    other = [("inside", "booth", f"b{k}", *row) for k in range(10, 20) for row in (("pos", "...", "visitor", "v3"), ("pos", "...", "visitor", "v3"))] + [("inside", "booth", "else", "star", "...", "visitor", "*")]
+    other = spark.createDataFrame(other, model.schema)
+    placed, a, b = shared.beside(other)
+    assert a.select("o_name").distinct().count() == 4 and placed.count() == BOOTHS + 1
+    for op in (M.union, M.intersect, M.subtract):
+        same(S.spread(placed, op(a, b, OBJECT).withColumnRenamed("o_name", "rep")).select(*ROW), op(model, other, OBJECT).select(*ROW))
+    laid, plain = Probes.write(shared, f"file://{tmp_path}/s", 3), Probes.write(model, f"file://{tmp_path}/p", 3)
+    assert laid.table("pairs").count() == shared.rows.count() < plain.table("pairs").count()
+    asked = spark.createDataFrame([("...", "visitor", v, "inside", "booth", o) for v in ("v0", "v1", "ghost", "*") for o in ("b0", "b1", "nowhere")], COLUMNS)
+    same(laid.check(asked), plain.check(asked))
+    same(laid.lookup_reverse(objects), plain.lookup_reverse(objects))
+    same(laid.lookup_markers(who), plain.lookup_markers(who))
