@@ -86,8 +86,10 @@ class Shares:
         self._tagged(version, rows).select(*self._held).write.mode("overwrite").parquet(self._at(version, ""))
         self._own.write_base(version, own)
 
-    def write_overlay(self, version: int, keys: DataFrame, placed: DataFrame, rows: DataFrame, own: DataFrame) -> None:
-        """``placed``, ``rows`` and ``own``: all that the ``keys`` have in this version."""
+    def write_overlay(self, version: int, keys: DataFrame, own: DataFrame, placed: DataFrame | None = None, rows: DataFrame | None = None) -> None:
+        """``own``, and with classes ``placed`` and ``rows``: all that the ``keys`` have in this version."""
+        if placed is None or rows is None:
+            placed, rows, _ = self.parts(-1, -1)
         self._places.write_overlay(version, keys, self._tagged(version, placed))
         self._tagged(version, rows).select(*self._held).write.mode("overwrite").parquet(self._at(version, "-rows"))
         self._own.write_overlay(version, keys, own)
